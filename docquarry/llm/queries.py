@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import exact, simhash
+from docquarry.llm import bpe, exact, packing, simhash
 from docquarry.sources import load
 
 
@@ -12,6 +12,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(load(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op5_packing": op5_packing,
+        "op6_bpe": op6_bpe,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
