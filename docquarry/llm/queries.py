@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe, exact, packing, simhash
+from docquarry.llm import bpe, exact, lines, packing, simhash
 from docquarry.sources import load
 
 
@@ -24,6 +24,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(load(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY t) AS keep_id,
@@ -40,6 +44,7 @@ def queries() -> dict:
         "op5_packing": op5_packing,
         "op6_bpe": op6_bpe,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
