@@ -12,39 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.lineage import cut
-
-#: Bits of the filter for each row, and the most bits it may have: 2 ** 21 words of 64 bits are
-#: broadcast at most, whatever the input. Beyond that more rows count as possibly repeated.
-BITS_PER_ROW = 32
-MAX_FILTER_BITS = 1 << 27
+from docquarry.llm import filters
+from docquarry.operators.skew import spread_join
 
 _TEXT = "coalesce(text, '')"
 
 
-def _words(rows: int) -> int:
-    """Words of the filter, a power of two."""
-    bits = min(MAX_FILTER_BITS, max(1 << 16, rows * BITS_PER_ROW))
-    return 1 << ((bits // 64).bit_length() - 1)
-
-
-def _slot(words: int) -> list[str]:
-    """The word of a hash h and the mask of its two bits in that word."""
-    return [
-        f"h & {words - 1}L word",
-        "shiftleft(1L, cast(shiftright(h, 40) & 63 as int)) | shiftleft(1L, cast(shiftright(h, 50) & 63 as int)) mask",
-    ]
-
-
-def repeated_filter(docs: DataFrame, words: int) -> DataFrame:
-    """(word, twice): the bits that two or more rows set. At most `words` rows."""
-    bits = docs.selectExpr(f"xxhash64({_TEXT}) h").selectExpr(
-        f"h & {words - 1}L word",
-        "explode(array_distinct(array(shiftright(h, 40) & 63, shiftright(h, 50) & 63))) bit",
-    )
-    twice = bits.groupBy("word", "bit").count().where("count > 1")
-    return twice.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, cast(bit as int))) twice"))
-
-
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
@@ -53,24 +26,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rank below all others. Rows that repeat both text and doc_id are one document and share its
     verdict. An empty table gives no rows.
     """
-    words = _words(docs.count())
-    # at most `words` rows of 16 bytes: bounded by MAX_FILTER_BITS
-    seen = F.broadcast(repeated_filter(docs, words))
-    rows = (
-        docs.selectExpr("doc_id", f"xxhash64({_TEXT}) h", f"sha2({_TEXT}, 256) text_sha256")
-        .selectExpr("doc_id", "text_sha256", *_slot(words))
-        .join(seen, "word", "left")
-        .selectExpr("doc_id", "text_sha256", "coalesce(twice & mask = mask, false) maybe")
-    )
+    words = filters.filter_words(docs.count())
+    seen = filters.build(docs.selectExpr(f"xxhash64({_TEXT}) h"), words, least=2)
+    rows = docs.selectExpr("doc_id", f"xxhash64({_TEXT}) h", f"sha2({_TEXT}, 256) text_sha256")
+    rows = filters.tested(rows, "h", words, seen)
     rows = cut(rows)
     alone = rows.where("not maybe").selectExpr(
         "doc_id", "doc_id keep_id", "1L group_size", "true kept", "text_sha256"
     )
-    maybe = rows.where("maybe")
+    maybe = rows.where("maybe").select("doc_id", "text_sha256")
     groups = maybe.groupBy("text_sha256").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
-    grouped = maybe.join(groups, "text_sha256").selectExpr(
+    grouped = spread_join(maybe, groups, "text_sha256").selectExpr(
         "doc_id", "keep_id", "group_size", "doc_id <=> keep_id kept", "text_sha256"
     )
     return alone.unionByName(grouped)
