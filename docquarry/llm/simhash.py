@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from docquarry.lineage import cut
 from docquarry.llm.common import narrow, word_blocks
 from docquarry.operators.components import connected_components
+from docquarry.operators.skew import spread_join
 
 SHINGLE = 3
 SEED = 42
@@ -150,7 +151,7 @@ def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     labels = least.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "rep").alias("component_id")
     )
-    return prints.join(labels, "fp").select(
+    return spread_join(prints, labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
