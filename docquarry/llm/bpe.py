@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import narrow
 
 #: Words and chunks that one task keeps, and the longest kept ones in bytes.
-MAX_WORDS, MAX_WORD = 400_000, 48
+MAX_WORDS, MAX_WORD = 500_000, 48
 MAX_CHUNKS, MAX_CHUNK = 8_000, 4096
 #: Chunks that are encoded once for all tasks; at most SHARED * MAX_CHUNK bytes are sent.
 SHARED = 4096
@@ -56,41 +58,79 @@ def load_tokenizer(path: str):
     return tok
 
 
+#: A word that needs no other rule than lower case: Latin letters, then ASCII marks but ' and <.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:;=-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class WordEncoder(dict):
     """Ids of words, as bytes of little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tok = load_tokenizer(path)
-        probe = ["the", "'s", "12", "a,b", "é", "<|endoftext|>"]
+        self.letters = _byte_letters()
+        self.base: dict[str, bytes] = {}
+        self.mark = self.ids(MARK)
+        probe = ["the", "'s", "12", "a,b", "\u00e9", "<|endoftext|>"]
         apart = [i for w in probe for i in self.ids(w)]
         if self.ids(" ".join(probe)) != apart or self.ids("\n".join(probe)) != apart:
             raise ValueError("this vocabulary's ids depend on white space")
+        # simple words go straight to the merges if that gives the same ids
+        simple = ["Hello,", "World.", "\u00c9t\u00e9", "quementeas", "a", "Stra\u00dfe", "\u00f1and\u00fa,", "\u00c0\u00dd\u00ff", "ab***", "|", "x#_$%"]
+        self.direct = all(self._simple(w) == self._pack(self.ids(w)) for w in simple)
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _merged(self, piece: str) -> bytes:
+        if (found := self.base.get(piece)) is None:
+            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            found = self.base[piece] = self._pack([t.id for t in self.tok.model.tokenize(shown)])
+        return found
+
+    def _simple(self, word: str) -> bytes | None:
+        m = _SIMPLE.fullmatch(word)
+        if not m:
+            return None
+        return (self._merged(m[1].lower()) if m[1] else b"") + (self._merged(m[2]) if m[2] else b"")
+
     def learn(self, words) -> None:
-        """Encodes the words that aren't known yet, many in one text with a mark between them."""
+        """Encodes the words that aren't known yet, those that aren't simple many in one text with a
+        mark between them."""
         if len(self) > MAX_WORDS:
             self.clear()
-        new = [w for w in set(words) if w not in self]
-        mark = self.ids(MARK)
-        plain = [w for w in new if MARK.encode() not in w] if len(mark) == 1 else []
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
+        if len(self.base) > MAX_WORDS:
+            self.base.clear()
+        rest = []
+        for word in {w for w in words if w not in self}:
+            if self.direct and (found := self._simple(word.decode())) is not None:
+                self[word] = found
+            elif len(self.mark) == 1 and MARK.encode() not in word:
+                rest.append(word)
+            else:
+                self[word] = self[word]
+        for at in range(0, len(rest), 256):
+            part = rest[at : at + 256]
             text = f" {MARK} ".join(w.decode() for w in part)
             ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == mark[0]).tolist()
+            ends = np.flatnonzero(ids == self.mark[0]).tolist()
             data = ids.tobytes()
             for word, a, b in zip(part, [-1, *ends], [*ends, len(ids)]):
                 self[word] = data[4 * a + 4 : 4 * b]
-        for word in new:
-            if word not in self:
-                self[word] = self[word]
 
     def __missing__(self, word: bytes) -> bytes:
-        return np.array(self.ids(word.decode()), "<u4").tobytes()
+        return self._pack(self.ids(word.decode()))
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
@@ -98,7 +138,7 @@ class WordEncoder(dict):
     def encode_texts(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of whole texts: white space never reaches the merges."""
         split = [t.split() for t in texts]
-        self.learn(w for words in split for w in words if len(w) <= MAX_WORD)
+        self.learn(w for w in set(chain.from_iterable(split)) if len(w) <= MAX_WORD)
         return [self.encode(words) for words in split]
 
 
