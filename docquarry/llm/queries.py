@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe, exact, lines, packing, simhash
+from docquarry.llm import bpe, exact, lines, packing, pii, simhash
 from docquarry.sources import load
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(load(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op4_pii": op4_pii,
         "op5_packing": op5_packing,
         "op6_bpe": op6_bpe,
         "op9_exact_dedup": op9_exact_dedup,
