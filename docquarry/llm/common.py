@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry.session import ship_package
+
 #: Rows of one Arrow batch; texts may be long, so batches stay small.
 ARROW_ROWS = 512
 
@@ -13,7 +15,8 @@ _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps the batches that go to Python small in rows and in bytes."""
+    """Sends the package to the executors and keeps the batches that go to Python small."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

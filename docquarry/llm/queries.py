@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe, exact, langid, lines, packing, pii, simhash
+from docquarry.llm import bpe, exact, langid, lines, packing, pii, quality, simhash
 from docquarry.sources import load
 
 
@@ -24,6 +24,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(load(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op4_pii": op4_pii,
         "op5_packing": op5_packing,
         "op6_bpe": op6_bpe,
+        "op7_quality": op7_quality,
         "op8_langid": op8_langid,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_line_dedup": op10_line_dedup,
