@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe, exact, langid, lines, packing, pii, quality, simhash
+from docquarry.llm import bpe, exact, langid, lines, packing, pii, quality, simhash, topk
 from docquarry.sources import load
 
 
@@ -12,6 +12,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(load(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(load(spark, sf_dir, "documents"))
 
@@ -40,6 +45,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(load(spark, sf_dir, "documents"))
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scored)
+WHERE rank <= 5
+"""
+
 OP9_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY t) AS keep_id,
@@ -53,6 +76,7 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_topk": op2_topk,
         "op4_pii": op4_pii,
         "op5_packing": op5_packing,
         "op6_bpe": op6_bpe,
@@ -64,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_topk": OP2_SQL, "op9_exact_dedup": OP9_SQL}
