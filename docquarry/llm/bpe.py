@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import narrow
 
 #: Words and chunks that one task keeps, and the longest kept ones in bytes.
-MAX_WORDS, MAX_WORD = 500_000, 48
+MAX_WORDS, MAX_WORD = 900_000, 48
 MAX_CHUNKS, MAX_CHUNK = 8_000, 4096
 #: Chunks that are encoded once for all tasks; at most SHARED * MAX_CHUNK bytes are sent.
 SHARED = 4096
