@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str | list[str], salts: int = SALTS) -> DataFrame:
     """rows with the columns of facts, which has one row for each value of key (inner join).
 
     Rows of one key are dealt over `salts` groups by a hash of their other columns. facts is copied
@@ -18,5 +18,6 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, salts: int = SALTS)
     """
     dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
     rows = rows.withColumn("_salt", dealt)
-    copied = rows.select(key, "_salt").distinct().join(facts, key)
-    return rows.join(copied, [key, "_salt"]).drop("_salt")
+    keys = [key] if isinstance(key, str) else list(key)
+    copied = rows.select(*keys, "_salt").distinct().join(facts, keys)
+    return rows.join(copied, [*keys, "_salt"]).drop("_salt")
