@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe, exact, langid, lines, packing, pii, quality, simhash, topk
+from docquarry.llm import bpe, exact, langid, lines, packing, pii, quality, simhash, suffix, topk
 from docquarry.sources import load
 
 
@@ -17,6 +17,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(load(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(load(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_topk": op2_topk,
+        "op3_suffix": op3_suffix,
         "op4_pii": op4_pii,
         "op5_packing": op5_packing,
         "op6_bpe": op6_bpe,
