@@ -24,13 +24,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut
 from docquarry.llm import filters
 from docquarry.llm.common import bounded_batches, narrow
-from docquarry.operators.skew import spread_join
 
 LENGTH = 50
 #: Bytes under one minimizer.
@@ -52,6 +51,14 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 def _names(parts: list[np.ndarray]) -> tuple[np.ndarray, int]:
     """Ranks, from 1, of rows of columns, and how many different ones there are."""
     first, *rest = parts
+    size = int(max(p.max() for p in parts)) + 1
+    if size ** len(parts) <= 1 << 25:  # few symbols: a table of all combinations instead of a sort
+        for column in rest:
+            first = first * size + column
+        table = np.zeros(size ** len(parts), np.int32)
+        table[first] = 1
+        np.cumsum(table, out=table)
+        return table[first].astype(np.int64), int(table[-1])
     for column in rest:
         top = int(column.max()) + 1
         if int(first.max()) >= (1 << 62) // top:
@@ -222,7 +229,7 @@ def repeated_minimizers(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndar
     size is the number of bytes of all texts. The filters have at most filters.MAX_BITS bits each.
     """
     shards = max(12, size // (12 * KEYS_PER_SHARD))
-    words = filters.filter_words(size // 64)
+    words = filters.filter_words(size // 256)
     found = (
         narrow(docs, "cast(text as binary) text")
         .mapInArrow(_keys(shards), "shard int, keys binary, counts binary")
@@ -256,131 +263,192 @@ def _units(data: bytes, table: np.ndarray, frequent: np.ndarray):
                 yield s, s + LENGTH, xxhash.xxh3_64_intdigest(data[s : s + LENGTH], 1) >> (64 - KEY_BITS)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class _Blocks:
+    """Different byte strings of a stretch of a task, with their keys and smallest doc_ids, and where
+    they are. A block gets the same number whenever its partition is read again."""
 
+    def __init__(self, shards: int):
+        self.shards, self.count = shards, 0
+        self.part = TaskContext.get().partitionId()
+        self.clear()
 
-def _strings(shards: int, shared):
-    """(shard, text, sizes, firsts): different byte strings of a task by shard, with the smallest
-    doc_id of each; compressed."""
-
-    def out(held: dict):
-        by: dict[int, list] = {}
-        for text, (key, doc) in held.items():
-            by.setdefault(key % shards, []).append((text, doc))
-        rows = list(by.items())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k for k, _ in rows], pa.int32()),
-                pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(t for t, _ in r)) for _, r in rows], pa.binary()),
-                pa.array([_press(np.array([len(t) for t, _ in r], np.uint32)) for _, r in rows], pa.binary()),
-                pa.array([_press(np.array([d for _, d in r], np.int64)) for _, r in rows], pa.binary()),
-            ],
-            ["shard", "text", "sizes", "firsts"],
-        )
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.keys: list[int] = []
+        self.firsts: list[int] = []
+        self.places: list[tuple[int, int, int]] = []
 
+    def add(self, doc: int, data: bytes, units) -> None:
+        for a, b, key in units:
+            text = data[a:b]
+            at = self.known.get(text)
+            if at is None:
+                at = self.known[text] = len(self.keys)
+                self.keys.append(key)
+                self.firsts.append(doc)
+            elif doc < self.firsts[at]:
+                self.firsts[at] = doc
+            self.places.append((doc, a, at))
+
+    def number(self) -> int:
+        self.count += 1
+        return (self.part << 24) | self.count
+
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the strings by shard, and the shard of each."""
+        shard = (np.array(self.keys, np.uint64) % np.uint64(self.shards)).astype(np.int64)
+        return np.argsort(shard, kind="stable"), shard
+
+
+def _read(shards: int, shared, finish):
     def run(batches):
         table, frequent = shared.value
-        held: dict[bytes, tuple[int, int]] = {}
+        blocks = _Blocks(shards)
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b, key in _units(data or b"", table, frequent):
-                    text = data[a:b]
-                    known = held.get(text)
-                    if known is None or doc < known[1]:
-                        held[text] = (key, doc)
-            if len(held) > HELD:
-                yield out(held)
-                held = {}
-        if held:
-            yield out(held)
+                if data:
+                    blocks.add(doc, data, _units(data, table, frequent))
+                if len(blocks.known) > HELD or len(blocks.places) > 4 * HELD:
+                    yield finish(blocks)
+                    blocks.clear()
+        if blocks.known:
+            yield finish(blocks)
 
     return run
 
 
-def earliest(strings: dict[bytes, int]) -> list[np.ndarray]:
-    """For each string the smallest value at each of its starts among all that share LENGTH bytes."""
+def _strings_of(blocks: _Blocks) -> pa.RecordBatch:
+    """(block, shard, text, sizes, keys, firsts): the strings of a block by shard, compressed."""
+    number = blocks.number()
+    order, shard = blocks.split()
+    texts = list(blocks.known)
+    keys, firsts = np.array(blocks.keys, np.uint64), np.array(blocks.firsts, np.int64)
+    rows = []
+    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        found = [texts[i] for i in own.tolist()]
+        rows.append((
+            number, int(shard[own[0]]), zstandard.ZstdCompressor(level=3).compress(b"".join(found)),
+            _press(np.array([len(t) for t in found], np.uint32)), _press(keys[own]), _press(firsts[own]),
+        ))
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "shard", "text", "sizes", "keys", "firsts"]
+    )
+
+
+def _places_of(blocks: _Blocks) -> pa.RecordBatch:
+    """(block, docs, starts, ats): where the strings of a block are, by their place in shard order."""
+    number = blocks.number()
+    order, _ = blocks.split()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    doc, start, at = np.array(blocks.places, np.int64).T
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([number], pa.int64()),
+            pa.array([_press(np.diff(doc, prepend=0))], pa.binary()),
+            pa.array([_press(start.astype(np.int64))], pa.binary()),
+            pa.array([_press(rank[at].astype(np.uint32))], pa.binary()),
+        ],
+        ["block", "docs", "starts", "ats"],
+    )
+
+
+def earliest(strings: list[bytes], firsts: np.ndarray) -> list[np.ndarray]:
+    """For each string the smallest first at each of its starts among all that share LENGTH bytes."""
     if not strings:
         return []
     sizes = np.array([len(t) for t in strings])
-    joined = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum(sizes)
-    text = np.zeros(len(joined) + len(sizes), np.int16)
-    at = np.arange(len(joined)) + np.repeat(np.arange(len(sizes)), sizes)
-    text[at] = joined.astype(np.int16) + 1
-    value = np.repeat(np.fromiter(strings.values(), np.int64, len(sizes)), sizes + 1)
+    flat = np.frombuffer(b"\0".join(strings) + b"\0" * 9, np.uint8)
+    n = int(sizes.sum()) + len(sizes)
+    begin = np.cumsum(np.append(0, sizes[:-1] + 1))
+    text = flat[:n].astype(np.int16) + 1
+    text[begin + sizes] = 0
     order = suffix_array(text)
     # only starts with LENGTH bytes ahead in their own string
-    begin = np.concatenate([[0], ends[:-1]]) + np.arange(len(sizes))
-    room = np.repeat(begin + sizes, sizes + 1) - np.arange(len(text))
+    room = np.repeat(begin + sizes, sizes + 1) - np.arange(n)
     order = order[room[order] >= LENGTH]
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for k in range(LENGTH):  # adjacent prefixes
-        live = np.flatnonzero(same)
-        same[live] = text[order[live] + k] == text[order[live + 1] + k]
-    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
-    out = np.zeros(len(text), np.int64)
+    words = np.ndarray((n,), "<u8", flat.tobytes(), 0, (1,))
+    live = np.arange(max(len(order) - 1, 0))
+    for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):  # adjacent prefixes
+        live = live[words[order[live] + k] == words[order[live + 1] + k]]
+    new = np.ones(len(order), bool)
+    new[live + 1] = False
+    first = np.flatnonzero(new)
+    out = np.zeros(n, np.int64)
     if len(order):
-        low = np.minimum.reduceat(value[order], first)
+        low = np.minimum.reduceat(np.repeat(firsts, sizes + 1)[order], first)
         out[order] = np.repeat(low, np.diff(np.append(first, len(order))))
     return [out[b : b + n - LENGTH + 1] for b, n in zip(begin.tolist(), sizes.tolist())]
 
 
 def _sorted(key, table):
-    """(h, g, runs): of each string of a shard its hash and, where some of its starts belong to a
-    document before the string's own first, runs of (start, end, smallest doc_id); without such
-    starts the single run of all of them."""
-    strings: dict[bytes, int] = {}
+    """(block, shard, runs): for the strings of each block of a shard, in order, runs of starts (end,
+    smallest doc_id), the last of each string marked by its end being negative."""
+    at: dict[bytes, int] = {}
+    keys, firsts, blocks = [], [], []
     for row in table.to_pylist():
         data = zstandard.ZstdDecompressor().decompress(row["text"])
         ends = np.cumsum(_unpress(row["sizes"], np.uint32)).tolist()
-        for a, b, doc in zip([0, *ends], ends, _unpress(row["firsts"], np.int64).tolist()):
+        ids = []
+        for a, b, k, doc in zip([0, *ends], ends, _unpress(row["keys"], np.uint64).tolist(), _unpress(row["firsts"], np.int64).tolist()):
             text = data[a:b]
-            if doc < strings.get(text, doc + 1):
-                strings[text] = doc
-    h, g, runs = [], [], []
-    for text, low in zip(strings, earliest(strings)):
-        cuts = np.flatnonzero(np.diff(low)) + 1
-        h.append(_signed(xxhash.xxh3_64_intdigest(text)))
-        g.append(_signed(xxhash.xxh64_intdigest(text)))
-        runs.append(np.stack([np.append(0, cuts), np.append(cuts, len(low)), low[np.append(0, cuts)]], 1).astype(np.int64).tobytes())
-    return pa.table([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(runs, pa.binary())], ["h", "g", "runs"])
-
-
-def _places(shared):
-    """(doc_id, start, h, g) of every string of every text that may repeat."""
-
-    def run(batches):
-        table, frequent = shared.value
-        for batch in batches:
-            docs, starts, h, g = [], [], [], []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b, _ in _units(data or b"", table, frequent):
-                    text = data[a:b]
-                    docs.append(doc)
-                    starts.append(a)
-                    h.append(_signed(xxhash.xxh3_64_intdigest(text)))
-                    g.append(_signed(xxhash.xxh64_intdigest(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, h, g)], ["doc_id", "start", "h", "g"])
-
-    return run
+            i = at.setdefault(text, len(keys))
+            if i == len(keys):
+                keys.append(k)
+                firsts.append(doc)
+            elif doc < firsts[i]:
+                firsts[i] = doc
+            ids.append(i)
+        blocks.append((row["block"], row["shard"], ids))
+    texts = list(at)
+    low = np.array(firsts, np.int64)
+    # a string that is alone under its minimizer shares nothing with others
+    _, group, size = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(size[group] > 1)
+    runs: dict[int, bytes] = {}
+    for i, found in zip(several.tolist(), earliest([texts[i] for i in several.tolist()], low[several])):
+        cuts = np.flatnonzero(np.diff(found)) + 1
+        ends = np.append(cuts, len(found))
+        ends[-1] = -ends[-1]
+        runs[i] = np.stack([ends, found[np.append(0, cuts)]], 1).astype(np.int64).tobytes()
+    for i in np.flatnonzero(size[group] == 1).tolist():
+        runs[i] = np.array([LENGTH - 1 - len(texts[i]), low[i]], np.int64).tobytes()
+    out = [_press(np.frombuffer(b"".join([runs[i] for i in ids]), np.int64)) for _, _, ids in blocks]
+    return pa.table(
+        [pa.array([b for b, _, _ in blocks], pa.int64()), pa.array([s for _, s, _ in blocks], pa.int32()), pa.array(out, pa.binary())],
+        ["block", "shard", "runs"],
+    )
 
 
 def _covered(batches):
-    """(doc_id, a, b): bytes of a document whose string has an earlier document."""
+    """(doc_id, spans): bytes of documents whose strings have an earlier document."""
     for batch in batches:
-        docs, starts, ends = [], [], []
-        for doc, start, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for a, b, low in np.frombuffer(runs, np.int64).reshape(-1, 3).tolist():
-                if low < doc:
-                    docs.append(doc)
-                    starts.append(start + a)
-                    ends.append(start + b - 1 + LENGTH)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, ends)], ["doc_id", "a", "b"])
+        docs, spans = [], []
+        for row in batch.to_pylist():
+            doc = np.cumsum(_unpress(row["docs"], np.int64))
+            start, at = _unpress(row["starts"], np.int64), _unpress(row["ats"], np.uint32).astype(np.int64)
+            runs = np.concatenate([_unpress(x["runs"], np.int64) for x in sorted(row["found"], key=lambda x: x["shard"])]).reshape(-1, 2)
+            last = np.flatnonzero(runs[:, 0] < 0)
+            head = np.append(0, last[:-1] + 1)
+            count = (last - head + 1)[at]
+            which = np.repeat(np.arange(len(at)), count)
+            run = np.repeat(head[at], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            end = np.abs(runs[run, 0])
+            begin = np.where(run == head[at][which], 0, np.abs(runs[run - 1, 0]))
+            hit = runs[run, 1] < doc[which]
+            which, a, b = which[hit], start[which[hit]] + begin[hit], start[which[hit]] + end[hit] - 1 + LENGTH
+            order = np.lexsort((a, doc[which]))
+            d, a, b = doc[which][order], a[order], b[order]
+            for own in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d)) + 1) if len(d) else []:
+                docs.append(int(d[own[0]]))
+                spans.append(np.array(merged(zip(a[own].tolist(), b[own].tolist())), np.int64).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, pa.binary())], ["doc_id", "spans"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): for each document with repeats, the (a, b) that cover them; they may overlap.
+    """(doc_id, spans): for each document with repeats, pairs of ends that cover them, as arrays of
+    whole numbers in one or more binary values; they may overlap.
 
     Rows with a null doc_id neither lose bytes nor take any from others.
     """
@@ -390,15 +458,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     table, frequent, n = repeated_minimizers(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast((table, frequent))
     shards = max(12, n * 64 // BYTES_PER_SHARD)
-    known = cut(
-        docs.mapInArrow(_strings(shards, shared), "shard int, text binary, sizes binary, firsts binary")
-        .groupBy("shard")
-        .applyInArrow(_sorted, "h long, g long, runs binary")
+    strings = docs.mapInArrow(
+        _read(shards, shared, _strings_of), "block long, shard int, text binary, sizes binary, keys binary, firsts binary"
     )
-    places = docs.mapInArrow(_places(shared), "doc_id long, start long, h long, g long")
-    met = spread_join(places, known, ["h", "g"]).select("doc_id", "start", "runs")
-    spans = met.mapInArrow(_covered, "doc_id long, a long, b long")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    known = strings.groupBy("shard").applyInArrow(_sorted, "block long, shard int, runs binary")
+    # a row for each shard of a block, which holds a bounded number of strings
+    known = known.groupBy("block").agg(F.collect_list(F.struct("shard", "runs")).alias("found"))
+    places = docs.mapInArrow(_read(shards, shared, _places_of), "block long, docs binary, starts binary, ats binary")
+    spans = places.join(known, "block").mapInArrow(_covered, "doc_id long, spans binary")
+    return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -435,7 +503,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, gone, runs, kept = [], [], [], []
             for data, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = merged([(s["a"], min(s["b"], len(data))) for s in found or [] if s["a"] < len(data)])
+                pairs = [p for s in found or [] for p in np.frombuffer(s, np.int64).reshape(-1, 2).tolist()]
+                own = merged([(a, min(b, len(data))) for a, b in pairs if a < len(data)])
                 rest = without(data, own)
                 n.append(len(data))
                 gone.append(len(data) - len(rest))
