@@ -111,7 +111,7 @@ def adjacent_band(spark, sf_dir):
     return rows.where("event_id % 10 = 0").select("event_id", sides).where("neighbour is not null")
 
 
-@query("""WITH asked AS (SELECT o_orderkey AS ask, CASE WHEN o_orderkey % 2 = 0 THEN 'part_' || CAST(o_orderkey AS VARCHAR) ELSE 'part_p' || lpad(CAST(o_orderkey AS VARCHAR), 3, '0') END AS cite FROM orders WHERE o_orderkey < 3000)
+@query("""WITH asked AS (SELECT o_orderkey AS ask, CASE WHEN o_orderkey % 2 = 0 THEN 'part_' || CAST(o_orderkey AS VARCHAR) ELSE 'part_p' || lpad(CAST(o_orderkey AS VARCHAR), greatest(3, length(CAST(o_orderkey AS VARCHAR))), '0') END AS cite FROM orders WHERE o_orderkey < 3000)
 SELECT ask, p_partkey, p_name FROM asked LEFT JOIN part ON p_partkey = CAST(regexp_extract(cite, '^(.+?)_(?:p)?(\\d+)$', 2) AS BIGINT)""")
 def citations_fallback(spark, sf_dir):
     """Page ids in two forms, looked up exactly, or else by their parsed parts."""
