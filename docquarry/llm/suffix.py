@@ -6,7 +6,8 @@ in it; equal strings have equal minimizers. Neighbouring starts with one minimiz
 1. The minimizers of all stretches are counted, sharded by value. Those that occur twice or more
    enter a Bloom filter; a string under any other minimizer cannot repeat.
 2. Stretches under repeated minimizers are folded by content, keeping the smallest doc_id, and go to
-   the shard of their minimizer. So each shard has all the places of its strings, and no text of one
+   the shard of their minimizer; what was folded and where it stood is written once, to the shared
+   checkpoint folder. So each shard has all the places of its strings, and no text of one
    shard need be compared with another's.
 3. A shard joins its stretches into one text and sorts its suffixes by the difference-cover
    algorithm: triples at positions that are not multiples of three are sorted and named, the names
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.lineage import cut
 from docquarry.llm import filters
 from docquarry.llm.common import bounded_batches, narrow
 
@@ -142,16 +144,18 @@ def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if size < width:
         h = np.minimum(h[: len(h) - (width - size)], h[width - size :])
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return first, h[first]
+    # minima are small numbers; an odd factor spreads them over all keys
+    return first, h[first] * _C & np.uint64((1 << KEY_BITS) - 1)
 
 
 def _bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word of each key in a Bloom filter and the mask of its two bits there."""
+    """The word of each key in a Bloom filter, by its top bits, and the mask of its two bits there."""
     h = keys * _B
     h ^= h >> np.uint64(31)
     h *= _A
     one, two = (h >> np.uint64(40)) & np.uint64(63), (h >> np.uint64(50)) & np.uint64(63)
-    return (h & np.uint64(words - 1)).astype(np.int64), (np.uint64(1) << one) | (np.uint64(1) << two)
+    word = keys >> np.uint64(KEY_BITS - words.bit_length() + 1)
+    return word.astype(np.int64), (np.uint64(1) << one) | (np.uint64(1) << two)
 
 
 def _has(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -168,11 +172,14 @@ def _unpress(data: bytes, kind) -> np.ndarray:
 
 
 def _keys(shards: int):
-    """(shard, keys, counts): the minimizers of a task, each once, by shard; compressed."""
+    """(shard, keys, counts): the minimizers of a task, each once, by shard; compressed.
+
+    A shard, of a power of two, has the keys of one range.
+    """
 
     def out(held):
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        cuts = np.searchsorted(keys, (np.arange(1, shards) << KEY_BITS) // shards)
+        cuts = np.searchsorted(keys, np.arange(1, shards, dtype=np.uint64) << np.uint64(KEY_BITS - shards.bit_length() + 1))
         rows = [(k, a, b) for k, (a, b) in enumerate(zip(np.split(keys, cuts), np.split(n, cuts))) if len(a)]
         return pa.RecordBatch.from_arrays(
             [
@@ -199,26 +206,27 @@ def _keys(shards: int):
     return run
 
 
-def _repeated(words: int):
-    """(kind, word, bits) of a counting shard: bits of repeated (0) and of frequent (1) minimizers;
-    kind 2 has the number of repeated ones as bits."""
+def _repeated(words: int, shards: int):
+    """(shard, repeated, frequent, n) of a counting shard: its words of the two filters, compressed,
+    and how many minimizers are repeated."""
+    own = words // shards
 
     def run(key, table):
+        shard = table.column("shard")[0].as_py()
         keys = np.concatenate([np.cumsum(_unpress(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()])
         counts = np.concatenate([_unpress(x, np.uint32) for x in table.column("counts").to_pylist()])
-        keys, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, counts)
-        kinds, where, what = [2], [0], [int((total >= 2).sum())]
-        for kind, least in ((0, 2), (1, FREQUENT)):
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, total = keys[first], np.add.reduceat(counts, first)
+        parts = []
+        for least in (2, FREQUENT):
             word, mask = _bits(keys[total >= least], words)
-            order = np.argsort(word, kind="stable")
-            word, mask = word[order], mask[order]
-            if len(word):
-                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-                kinds += [kind] * len(first)
-                where += word[first].tolist()
-                what += np.bitwise_or.reduceat(mask, first).view(np.int64).tolist()
-        return pa.table([pa.array(kinds, pa.int32()), pa.array(where, pa.int64()), pa.array(what, pa.int64())], ["kind", "word", "bits"])
+            part = np.zeros(own, np.uint64)
+            np.bitwise_or.at(part, word - shard * own, mask)
+            parts.append(_press(part))
+        row = [pa.array([shard], pa.int32()), *(pa.array([p], pa.binary()) for p in parts), pa.array([int((total >= 2).sum())], pa.int64())]
+        return pa.table(row, ["shard", "repeated", "frequent", "n"])
 
     return run
 
@@ -228,23 +236,20 @@ def repeated_minimizers(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndar
 
     size is the number of bytes of all texts. The filters have at most filters.MAX_BITS bits each.
     """
-    shards = max(12, size // (12 * KEYS_PER_SHARD))
     words = filters.filter_words(size // 256)
+    shards = min(words, 1 << max(12, size // (12 * KEYS_PER_SHARD)).bit_length())
     found = (
         narrow(docs, "cast(text as binary) text")
         .mapInArrow(_keys(shards), "shard int, keys binary, counts binary")
         .groupBy("shard")
-        .applyInArrow(_repeated(words), "kind int, word long, bits long")
-        .groupBy("kind", "word")
-        .agg(F.expr("if(kind = 2, sum(if(kind = 2, bits, 0L)), bit_or(bits)) bits"))
-        .toPandas()
+        .applyInArrow(_repeated(words, shards), "shard int, repeated binary, frequent binary, n long")
+        .toArrow()
     )
-    tables = []
-    for kind in (0, 1):
-        table, own = np.zeros(words, np.uint64), found[found["kind"] == kind]
-        table[own["word"].to_numpy()] = own["bits"].to_numpy(np.int64).view(np.uint64)
-        tables.append(table)
-    return *tables, int(found[found["kind"] == 2]["bits"].sum())
+    tables = np.zeros((2, shards, words // shards), np.uint64)
+    for row in found.to_pylist():
+        for table, part in zip(tables, (row["repeated"], row["frequent"])):
+            table[row["shard"]] = _unpress(part, np.uint64)
+    return tables[0].ravel(), tables[1].ravel(), sum(found.column("n").to_pylist())
 
 
 def _units(data: bytes, table: np.ndarray, frequent: np.ndarray):
@@ -300,7 +305,15 @@ class _Blocks:
         return np.argsort(shard, kind="stable"), shard
 
 
-def _read(shards: int, shared, finish):
+_BLOCK = (
+    "block long, shard int, text binary, sizes binary, keys binary, firsts binary, "
+    "docs binary, starts binary, ats binary"
+)
+
+
+def _read(shards: int, shared):
+    """Rows of _BLOCK: those of the strings of each block, and one of their places."""
+
     def run(batches):
         table, frequent = shared.value
         blocks = _Blocks(shards)
@@ -309,16 +322,15 @@ def _read(shards: int, shared, finish):
                 if data:
                     blocks.add(doc, data, _units(data, table, frequent))
                 if len(blocks.known) > HELD or len(blocks.places) > 4 * HELD:
-                    yield finish(blocks)
+                    yield _written(blocks)
                     blocks.clear()
         if blocks.known:
-            yield finish(blocks)
+            yield _written(blocks)
 
     return run
 
 
-def _strings_of(blocks: _Blocks) -> pa.RecordBatch:
-    """(block, shard, text, sizes, keys, firsts): the strings of a block by shard, compressed."""
+def _written(blocks: _Blocks) -> pa.RecordBatch:
     number = blocks.number()
     order, shard = blocks.split()
     texts = list(blocks.known)
@@ -329,29 +341,17 @@ def _strings_of(blocks: _Blocks) -> pa.RecordBatch:
         rows.append((
             number, int(shard[own[0]]), zstandard.ZstdCompressor(level=3).compress(b"".join(found)),
             _press(np.array([len(t) for t in found], np.uint32)), _press(keys[own]), _press(firsts[own]),
+            None, None, None,
         ))
-    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "shard", "text", "sizes", "keys", "firsts"]
-    )
-
-
-def _places_of(blocks: _Blocks) -> pa.RecordBatch:
-    """(block, docs, starts, ats): where the strings of a block are, by their place in shard order."""
-    number = blocks.number()
-    order, _ = blocks.split()
+    # where the strings are, by their place in shard order
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     doc, start, at = np.array(blocks.places, np.int64).T
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([number], pa.int64()),
-            pa.array([_press(np.diff(doc, prepend=0))], pa.binary()),
-            pa.array([_press(start.astype(np.int64))], pa.binary()),
-            pa.array([_press(rank[at].astype(np.uint32))], pa.binary()),
-        ],
-        ["block", "docs", "starts", "ats"],
-    )
+    places = (_press(np.diff(doc, prepend=0)), _press(start.astype(np.int64)), _press(rank[at].astype(np.uint32)))
+    rows.append((number, None, None, None, None, None, *places))
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 7)
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def earliest(strings: list[bytes], firsts: np.ndarray) -> list[np.ndarray]:
@@ -458,13 +458,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     table, frequent, n = repeated_minimizers(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast((table, frequent))
     shards = max(12, n * 64 // BYTES_PER_SHARD)
-    strings = docs.mapInArrow(
-        _read(shards, shared, _strings_of), "block long, shard int, text binary, sizes binary, keys binary, firsts binary"
-    )
+    blocks = cut(docs.mapInArrow(_read(shards, shared), _BLOCK))
+    strings = blocks.where("shard is not null").select("block", "shard", "text", "sizes", "keys", "firsts")
     known = strings.groupBy("shard").applyInArrow(_sorted, "block long, shard int, runs binary")
     # a row for each shard of a block, which holds a bounded number of strings
     known = known.groupBy("block").agg(F.collect_list(F.struct("shard", "runs")).alias("found"))
-    places = docs.mapInArrow(_read(shards, shared, _places_of), "block long, docs binary, starts binary, ats binary")
+    places = blocks.where("shard is null").select("block", "docs", "starts", "ats")
     spans = places.join(known, "block").mapInArrow(_covered, "doc_id long, spans binary")
     return spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
