@@ -72,7 +72,8 @@ def _forests(batches):
     for batch in batches:
         src, dst = [], []
         for members in batch.column(0).to_pylist():
-            rest = np.unique(np.array(members, np.int64))
+            # unsigned: bits are counted in absolute values
+            rest = np.unique(np.array(members, np.int64)).view(np.uint64)
             while len(rest) > 1:
                 queue, rest = [rest[0]], rest[1:]
                 root = queue[0]
@@ -81,8 +82,8 @@ def _forests(batches):
                     if near.any():
                         found, rest = rest[near], rest[~near]
                         queue.extend(found)
-                        src.extend(repeat(int(root), len(found)))
-                        dst.extend(found.tolist())
+                        src.extend(repeat(int(root.astype(np.int64)), len(found)))
+                        dst.extend(found.view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays(
             [pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"]
         )
