@@ -106,6 +106,26 @@ def test_line_dedup(odd):
         assert top[x] == top[next(z for a, b, z in judged if (a, b) == (got[i, k].keep_doc_id, got[i, k].keep_line_no))]
 
 
+def test_full_bucket_misses_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = set()
+    for _ in range(60):
+        words = [f"w{x:05d}" for x in rng.integers(0, 1 << 16, rng.integers(9, 14))]
+        texts |= {" ".join(words), " ".join([*words, "more"]), " ".join([*words[:4], "else", *words[4:]])}
+    # one bucket for all lines, in blocks of a few
+    monkeypatch.setattr(lines, "bands", lambda signed: signed.selectExpr("lid", "shingles", "0L key"))
+    monkeypatch.setattr(lines, "BLOCK", 2, raising=False)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(texts))], "doc_id long, text string")
+    of = {r.lid: r.line for r in lines.lines_of(docs).collect()}
+    got = defaultdict(set)
+    for r in lines.linked_lines(lines.lines_of(docs)).collect():
+        got[r.component].add(of[r.lid])
+    want = defaultdict(set)
+    for x, top in groups_of(line_links(texts), texts).items():
+        want[top].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
 def test_line_dedup_takes_lines_out(spark):
     line = "this line stands in two of the documents here"
     docs = spark.createDataFrame([(1, f"a\n{line}\nb", 1), (2, f"{line}.\nc", 1), (3, None, 1), (4, line, 1)], "doc_id long, text string, n_chars long")
