@@ -60,6 +60,12 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "fp"])
 
 
+def _row_fingerprints(batches):
+    for batch in batches:
+        for found in _fingerprints([batch]):
+            yield pa.RecordBatch.from_arrays([*found.columns, batch.column(2)], ["doc_id", "fp", "text_hash"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for every row; fp holds the 64 bits in a long. Null texts count as empty."""
     return narrow(docs, "doc_id", "cast(text as binary) text").mapInArrow(
@@ -158,10 +164,18 @@ def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate component, one for each.
+    """One row of docs for each near-duplicate component: that of the smallest doc_id, nulls last.
 
-    Of rows that share that doc_id one stays. A component without any id keeps one row.
+    Rows are told apart by doc_id and a 64-bit hash of the text, so rows without an id, or of one id
+    with different texts, go only where another row of their component stays.
     """
-    kept = near_duplicates(docs).groupBy("component_id").count().select(F.col("component_id").alias("keep"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["keep"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    keyed = narrow(docs, "doc_id", "cast(text as binary) text", "xxhash64(text) text_hash")
+    prints = cut(keyed.mapInArrow(_row_fingerprints, "doc_id long, fp long, text_hash long"))
+    row = F.struct(F.expr("doc_id is null no_id"), "doc_id", "text_hash")
+    least = cut(prints.groupBy("fp").agg(F.min(row).alias("first")))
+    found = connected_components(links(least.select("fp"))).withColumnRenamed("node", "fp")
+    named = least.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    kept = named.agg(F.min("first").alias("first")).selectExpr("first.doc_id _id", "first.text_hash _hash")
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = rows["_text_hash"].eqNullSafe(kept["_hash"]) & rows["doc_id"].eqNullSafe(kept["_id"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

@@ -57,6 +57,14 @@ def test_simhash_keeps_one_of_each_group(odd):
     assert simhash.keep_representatives(odd).columns == odd.columns
 
 
+def test_simhash_keeps_one_of_each_group_whatever_the_ids(spark):
+    one, two, three = ("the first text of its own", "another one with different words", "yet a third that nothing is like")
+    rows = [(None, one), (None, two), (None, two), (7, three), (None, three), (8, one + " a"), (8, two + " and more of them")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(simhash.keep_representatives(docs).collect(), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(None, one), (None, two), (7, three), (8, one + " a"), (8, two + " and more of them")], key=str)
+
+
 def test_exact_duplicates(spark, sf_dir, duck, odd):
     same(queries.op9_exact_dedup(spark, sf_dir), duck.sql(queries.OP9_SQL))
     of = defaultdict(list)
