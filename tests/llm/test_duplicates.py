@@ -134,6 +134,13 @@ def test_full_bucket_misses_no_link(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_lines_of_words_with_common_heads_stay(spark):
+    urls = [" ".join(f"https://example.org/{name}/{i}" for i in range(5)) for name in ("one", "two", "three")]
+    ids = [" ".join(f"20260000{x * 7919 + i:06d}" for i in range(6)) for x in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(urls + ids)], "doc_id long, text string")
+    assert all(r.kept and r.n_lines == 1 for r in lines.line_dedup(docs).collect())
+
+
 def test_line_dedup_takes_lines_out(spark):
     line = "this line stands in two of the documents here"
     docs = spark.createDataFrame([(1, f"a\n{line}\nb", 1), (2, f"{line}.\nc", 1), (3, None, 1), (4, line, 1)], "doc_id long, text string, n_chars long")
