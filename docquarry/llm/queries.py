@@ -46,7 +46,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(load(spark, sf_dir, "documents"))
+    return lines.line_dedup(load(spark, sf_dir, "documents"), every=True)
 
 
 OP2_SQL = """

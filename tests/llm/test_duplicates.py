@@ -134,6 +134,15 @@ def test_full_bucket_misses_no_link(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_query_judges_every_line_that_is_not_blank(spark, tmp_path):
+    tabs = "\t".join(f"word{i:02d}" for i in range(14))
+    texts = ["All rights reserved.\n\n漢字だけの行です", "漢字だけの行です\nAll rights reserved.\n", tabs, tabs + "\televen", " \t\n \t"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    gone = {(r.doc_id, r.line_no) for r in queries.op10_line_dedup(spark, str(tmp_path)).where("not kept").collect()}
+    assert gone == {(1, 0), (1, 1), (3, 0)}
+
+
 def test_lines_of_words_with_common_heads_stay(spark):
     urls = [" ".join(f"https://example.org/{name}/{i}" for i in range(5)) for name in ("one", "two", "three")]
     ids = [" ".join(f"20260000{x * 7919 + i:06d}" for i in range(6)) for x in range(3)]
