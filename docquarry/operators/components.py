@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a grouped minimum, which combines before the shuffle, and one equality join, so a hub
-with very many neighbours is never gathered into a single task.
+A step is a grouped minimum, which combines before the shuffle, and an equality join of the links with
+these minima. Both sides of the join are read from plain shuffles, so adaptive execution splits the
+links of a hub over several tasks.
 """
 
 from __future__ import annotations
@@ -9,37 +10,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut
+from docquarry.lineage import cut, drop, tidied
 
+#: Links in a partition between rounds; so few tasks work on a graph of few links.
+LINKS = 250_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(links: DataFrame, parts: int) -> DataFrame:
+    """links with the smallest dst of their src as `low`."""
+    least = links.groupBy("src").agg(F.min("dst").alias("low"))
+    if parts > 1:
+        # dealt anew, so that the minima come from a shuffle of their own
+        least = least.hint("rebalance")
+    return links.join(least, "src")
+
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     """Links each larger neighbour of u to the smallest of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("low"))
-    least = least.select("src", F.least("src", "low").alias("low"))
-    return (
-        both.join(least, "src")
-        .where("dst > src")
-        .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        .distinct()
-    )
+    both = edges.unionByName(edges.selectExpr("dst src", "src dst")).coalesce(parts)
+    met = _with_least(both, parts).where("dst > src")
+    return met.selectExpr("dst src", "least(src, low) dst").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     """Links u and its smaller neighbours to the smallest of them; edges have src > dst."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("low"))
-    moved = (
-        edges.join(least, "src")
-        .where("dst > low")
-        .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-    )
-    return moved.unionByName(least.withColumnRenamed("low", "dst")).distinct()
+    met = _with_least(edges, parts)
+    # the smallest neighbour itself stays linked to u
+    moved = met.selectExpr("if(dst > low, dst, src) src", "low dst")
+    return moved.distinct()
 
 
 def _mark(edges: DataFrame):
     return edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(src, dst))")).first()
 
 
+@tidied
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has a link to another; component is its smallest node.
 
@@ -54,8 +59,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
-        after = _mark(edges)
+        parts = 1 + before[0] // LINKS
+        large = _large_star(edges.coalesce(parts), parts).coalesce(parts)
+        then = cut(_small_star(large, parts).coalesce(parts))
+        drop(edges)
+        edges, after = then, _mark(then)
         if after == before:
             break
         before = after
