@@ -39,8 +39,9 @@ def quiet_periods(events: DataFrame, gap: str = "10 seconds", late: str = "1 min
     )
 
 
-def rate_limited(events: DataFrame, capacity: float, per_second: float, idle: str = "1 day") -> DataFrame:
-    """Each event of a user with whether its token bucket allows it; idle buckets are forgotten.
+def rate_limited(events: DataFrame, capacity: float, per_second: float, idle: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Each event of a user with whether its token bucket allows it; a bucket is forgotten when the watermark, which
+    is `late` behind the latest event, has been idle behind its last one. Later events are dropped.
 
     A bucket is two numbers. Events of one batch are taken in the order of ts and event_id.
     """
@@ -60,15 +61,17 @@ def rate_limited(events: DataFrame, capacity: float, per_second: float, idle: st
             allowed.append(tokens >= 1)
             tokens -= tokens >= 1
         state.update((float(tokens), float(last)))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(last * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Writes all that is there now as Parquet, exactly once, and ends."""
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", limit: int = 3600) -> None:
+    """Writes all that is there now as Parquet, exactly once, and ends; a run of over `limit` seconds is stopped."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    if not query.awaitTermination(limit):
+        query.stop()
+        raise TimeoutError(f"the stream had not ended after {limit} seconds")
