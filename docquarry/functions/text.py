@@ -201,6 +201,14 @@ def numbered_marks(text) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\|(\d+)\|"), 1), lambda x: x.cast("int"))
 
 
+# Passwords that are refused.
+COMMON_PASSWORDS = (
+    "password", "123456", "12345678", "qwerty", "abc123", "monkey", "1234567", "letmein", "trustno1", "dragon",
+    "baseball", "iloveyou", "master", "sunshine", "ashley", "bailey", "passw0rd", "shadow", "123123", "654321",
+    "superman", "qazwsx", "michael", "football", "welcome",
+)
+
+
 def password_errors(password) -> Column:
     """Names of the rules that a password breaks."""
     rules = (
@@ -209,7 +217,7 @@ def password_errors(password) -> Column:
         ("lower", ~F.rlike(password, F.lit("[a-z]"))),
         ("digit", ~F.rlike(password, F.lit("[0-9]"))),
         ("sign", ~F.rlike(password, F.lit(r"[@$!%*?&]"))),
-        ("common", F.lower(password).isin("password", "password1", "12345678", "qwerty123")),
+        ("common", F.lower(password).isin(*COMMON_PASSWORDS)),
         ("repeated", F.rlike(password, F.lit(r"(.)\1{2,}"))),
     )
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules]))
@@ -220,3 +228,82 @@ def occurrences(text, needle: str) -> Column:
     plain = folded(text)
     found = folded(F.lit(needle))
     return ((F.length(plain) - F.length(F.replace(plain, found, F.lit("")))) / F.length(found)).cast("int")
+
+
+def visible_ratio(text) -> Column:
+    """The share of the words of an answer that are left without its thoughts, to 4 places; 0 for none."""
+    count = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return F.when(count(text) > 0, F.round(count(without_thoughts(text)) / count(text), 4)).otherwise(F.lit(0.0))
+
+
+def _column(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def entity_text(name, kind, description) -> Column:
+    """`name (kind): description`, for embedding."""
+    return F.concat(_column(name), F.lit(" ("), _column(kind), F.lit("): "), F.coalesce(_column(description), F.lit("")))
+
+
+def relation_text(source, kind, target, description) -> Column:
+    """`source --[kind]--> target: description`, the last only where there is one."""
+    arrow = F.concat(_column(source), F.lit(" --["), _column(kind), F.lit("]--> "), _column(target))
+    return F.when(F.coalesce(description, F.lit("")) != "", F.concat(arrow, F.lit(": "), description)).otherwise(arrow)
+
+
+# States that a requirement may have, and what an answer that can't be read counts.
+STATES = ("MET", "UNMET", "PARTIAL", "UNCLEAR")
+UNREAD = 0.25
+
+
+def assessment(answer) -> tuple[Column, Column]:
+    """(status, confidence) of an answer in JSON, with or without a fence.
+
+    Other states, and answers that can't be read, are UNCLEAR; confidence is held within 0 and 1.
+    """
+    parsed = F.from_json(without_fences(answer), "status string, confidence double", {"mode": "PERMISSIVE"})
+    status = F.upper(F.trim(parsed["status"]))
+    said = F.coalesce(parsed["confidence"], F.lit(UNREAD))  # first, as greatest passes over nulls
+    confidence = F.least(F.lit(1.0), F.greatest(F.lit(0.0), said))
+    return F.when(status.isin(*STATES), status).otherwise(F.lit("UNCLEAR")), confidence
+
+
+_EXTRACTION = "entities array<struct<name string, type string>>, relationships array<struct<source string, target string, type string>>"
+
+
+def extracted(answer, kinds: list[str]) -> Column:
+    """{entities: [{name, kind}], edges: [{source, target, kind}]} of an extraction answer.
+
+    Names are trimmed and kinds upper-cased; entities without a name or of other kinds go, and so do
+    edges without a kind or whose ends aren't both among the entities. Answers that can't be read have none.
+    """
+    parsed = F.from_json(without_fences(answer), _EXTRACTION, {"mode": "PERMISSIVE"})
+    entities = F.transform(parsed["entities"], lambda e: F.struct(F.trim(e["name"]).alias("name"), F.upper(F.trim(e["type"])).alias("kind")))
+    entities = F.filter(entities, lambda e: (e["name"] != "") & e["kind"].isin(kinds))
+    names = F.transform(entities, lambda e: e["name"])
+    edges = F.transform(
+        parsed["relationships"],
+        lambda e: F.struct(F.trim(e["source"]).alias("source"), F.trim(e["target"]).alias("target"), F.upper(F.trim(e["type"])).alias("kind")),
+    )
+    edges = F.filter(edges, lambda e: F.array_contains(names, e["source"]) & F.array_contains(names, e["target"]) & (e["kind"] != ""))
+    return F.struct(entities.alias("entities"), edges.alias("edges"))
+
+
+def community_title(title, summary, most: int = 100) -> Column:
+    """The first characters of a title; null unless title and summary are both there."""
+    both = (F.coalesce(_column(title), F.lit("")) != "") & (F.coalesce(_column(summary), F.lit("")) != "")
+    return F.when(both, F.left(_column(title), F.lit(most)))
+
+
+def legal_id(text) -> tuple[Column, Column]:
+    """Number and year of the first `number/year`, or nulls."""
+    parts = [F.nullif(F.regexp_extract(text, r"(\d+)/(\d{4})", i), F.lit("")).cast("int") for i in (1, 2)]
+    return parts[0], parts[1]
+
+
+def sampled(key, share: float, seed: int) -> Column:
+    """Whether a row is in a sample of that share; a seeded hash of its key decides, so it is the same on every run."""
+    if share >= 1:
+        return F.lit(True)
+    drawn = F.left(F.md5(F.concat(F.lit(f"{seed}:"), _column(key).cast("string"))), F.lit(6))
+    return drawn < F.lit(f"{-int(-share * (1 << 24) // 1):06x}")

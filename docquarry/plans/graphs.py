@@ -8,12 +8,13 @@ from docquarry.operators import graph
 from docquarry.plans.registry import query
 from docquarry.sources import load
 
-_EDGES = "edges AS (SELECT p_partkey AS relationship_id, p_partkey AS source, (p_partkey * 37 + p_size) % 2000 AS target, p_brand AS kind, 1.0 + p_size % 4 AS weight FROM part WHERE p_partkey < 2000)"
+_EDGES = "edges AS (SELECT p_partkey AS relationship_id, p_partkey AS source, (p_partkey * 37 + p_size) % (SELECT count(*) FROM part) AS target, p_brand AS kind, 1.0 + p_size % 4 AS weight FROM part)"
 
 
 def _edges(spark, sf_dir):
-    return load(spark, sf_dir, "part").where("p_partkey < 2000").selectExpr(
-        "p_partkey relationship_id", "p_partkey source", "(p_partkey * 37 + p_size) % 2000 target", "p_brand kind", "cast(1 + p_size % 4 as double) weight"
+    part = load(spark, sf_dir, "part")
+    return part.crossJoin(F.broadcast(part.agg(F.count("*").alias("n")))).selectExpr(  # one row
+        "p_partkey relationship_id", "p_partkey source", "(p_partkey * 37 + p_size) % n target", "p_brand kind", "cast(1 + p_size % 4 as double) weight"
     )
 
 
@@ -52,11 +53,11 @@ def edge_dedup(spark, sf_dir):
     return rows.groupBy("source", "target").agg(F.min("relationship_id").alias("relationship_id"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, kept AS (SELECT source, target FROM edges WHERE relationship_id % 5 = 0 AND source <> target), both_ AS (SELECT source AS a, target AS b FROM kept UNION SELECT target, source FROM kept),
-reach(node, seen) AS (SELECT a, a FROM both_ UNION SELECT node, b FROM reach JOIN both_ ON a = seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
+@query(f"""WITH RECURSIVE {_EDGES}, kept AS (SELECT source, source - source % 8 + CAST(weight AS BIGINT) AS target FROM edges), both_ AS (SELECT source AS a, target AS b FROM kept UNION SELECT target, source FROM kept),
+reach(node, seen) AS (SELECT a, a FROM both_ WHERE a <> b UNION SELECT node, b FROM reach JOIN both_ ON a = seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def union_find(spark, sf_dir):
-    edges = _edges(spark, sf_dir).where("relationship_id % 5 = 0")
-    return graph.connected_components(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+    edges = _edges(spark, sf_dir).selectExpr("source src", "source - source % 8 + cast(weight as bigint) dst")
+    return graph.connected_components(edges)
 
 
 @query()

@@ -97,29 +97,33 @@ def protect_last_results(spark, sf_dir):
     return rows.select("conv_id", "turn", ((F.col("role") == "assistant") & (d > 2)).alias("prune"), T.estimated_tokens("text").alias("tokens"))
 
 
-@query("""SELECT a.event_id AS event_id, b.event_id AS neighbour, CASE WHEN b.n < a.n THEN 'before' ELSE 'after' END AS side
-FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) a
-JOIN (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) b
-ON a.user_id = b.user_id AND b.n BETWEEN a.n - 2 AND a.n + 2 AND b.n <> a.n WHERE a.event_id % 10 = 0""")
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS page FROM lineitem)
+SELECT a.doc AS doc, a.page AS page, b.page AS neighbour, CASE WHEN b.page < a.page THEN 'before' ELSE 'after' END AS side
+FROM p a JOIN p b ON a.doc = b.doc AND b.page BETWEEN a.page - 2 AND a.page + 2 AND b.page <> a.page""")
 def adjacent_band(spark, sf_dir):
-    """Neighbours within two places of the same user: lag and lead of one window, no join."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = load(spark, sf_dir, "events").select("event_id", *[
-        F.lag("event_id", k).over(w).alias(f"n{k + 2}") for k in (2, 1, -1, -2)
-    ])
-    sides = F.expr("stack(4, n4, 'before', n3, 'before', n1, 'after', n0, 'after') as (neighbour, side)")
-    return rows.where("event_id % 10 = 0").select("event_id", sides).where("neighbour is not null")
+    """Pages of the same document whose numbers are within two: each page asks for four numbers, an equality join."""
+    pages = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey doc", "l_linenumber page").distinct()
+    asked = pages.selectExpr("doc", "page", "explode(array(page - 2, page - 1, page + 1, page + 2)) neighbour")
+    there = pages.withColumnRenamed("page", "neighbour")
+    return asked.join(there, ["doc", "neighbour"]).selectExpr("doc", "page", "neighbour", "if(neighbour < page, 'before', 'after') side")
 
 
-@query("""WITH asked AS (SELECT o_orderkey AS ask, CASE WHEN o_orderkey % 2 = 0 THEN 'part_' || CAST(o_orderkey AS VARCHAR) ELSE 'part_p' || lpad(CAST(o_orderkey AS VARCHAR), greatest(3, length(CAST(o_orderkey AS VARCHAR))), '0') END AS cite FROM orders WHERE o_orderkey < 3000)
-SELECT ask, p_partkey, p_name FROM asked LEFT JOIN part ON p_partkey = CAST(regexp_extract(cite, '^(.+?)_(?:p)?(\\d+)$', 2) AS BIGINT)""")
+@query("""WITH asked AS (SELECT o_orderkey AS ask, CASE WHEN o_orderkey % 2 = 0 THEN 'part_' || CAST(o_orderkey AS VARCHAR) ELSE 'part_p' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(3, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') END AS cite FROM orders),
+pages AS (SELECT p_partkey, p_name, 'part_p' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(3, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS page_id FROM part)
+SELECT ask, coalesce(e.p_partkey, f.p_partkey) AS p_partkey, coalesce(e.p_name, f.p_name) AS p_name, CASE WHEN e.page_id IS NOT NULL THEN 'exact' WHEN f.page_id IS NOT NULL THEN 'parsed' END AS found
+FROM asked LEFT JOIN pages e ON e.page_id = cite LEFT JOIN pages f ON f.p_partkey = CAST(regexp_extract(cite, '^(.+?)_(?:p)?(\\d+)$', 2) AS BIGINT)""")
 def citations_fallback(spark, sf_dir):
     """Page ids in two forms, looked up exactly, or else by their parsed parts."""
     cite = F.expr("if(o_orderkey % 2 = 0, concat('part_', o_orderkey), format_string('part_p%03d', o_orderkey))")
-    asked = load(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("ask"), cite.alias("cite"))
-    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name")
+    asked = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ask"), cite.alias("cite"))
+    pages = load(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", "format_string('part_p%03d', p_partkey) page_id")
     asked = asked.withColumn("key", F.expr("cast(regexp_extract(cite, '^(.+?)_(?:p)?(\\\\d+)$', 2) as bigint)"))
-    return asked.join(parts, asked["key"] == parts["p_partkey"], "left").select("ask", "p_partkey", "p_name")
+    exact = pages.selectExpr("page_id cite", "p_partkey k1", "p_name n1")
+    fuzzy = pages.selectExpr("p_partkey key", "p_partkey k2", "p_name n2")
+    found = asked.join(exact, "cite", "left").join(fuzzy, "key", "left")
+    return found.selectExpr(
+        "ask", "coalesce(k1, k2) p_partkey", "coalesce(n1, n2) p_name", "case when k1 is not null then 'exact' when k2 is not null then 'parsed' end found"
+    )
 
 
 @query("""SELECT c_custkey AS user_id, CAST(500 AS DOUBLE) AS spending_limit, round(coalesce(sum(o_totalprice), 0) / 10000, 2) AS spent,
@@ -142,13 +146,13 @@ def insert_ignore(spark, sf_dir):
 
 @query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.name ELSE a.name END AS name, coalesce(b.descr, a.descr) AS descr,
 array_to_string(list_sort(list_distinct(list_concat(coalesce(a.pages, []), coalesce(b.pages, [])))), ',') AS pages
-FROM (SELECT p_partkey AS k, p_name AS name, p_brand AS descr, [p_size] AS pages FROM part WHERE p_partkey < 300) a
-FULL OUTER JOIN (SELECT p_partkey AS k, upper(p_name) AS name, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS descr, [p_size, p_size + 1] AS pages FROM part WHERE p_partkey BETWEEN 200 AND 400) b
+FROM (SELECT p_partkey AS k, p_name AS name, p_brand AS descr, [p_size] AS pages FROM part WHERE p_size <= 35) a
+FULL OUTER JOIN (SELECT p_partkey AS k, upper(p_name) AS name, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS descr, [p_size, p_size + 1] AS pages FROM part WHERE p_size > 15) b
 ON a.k = b.k""")
 def entity_upsert(spark, sf_dir):
     part = load(spark, sf_dir, "part")
-    base = part.where("p_partkey < 300").selectExpr("p_partkey k", "p_name name", "p_brand descr", "array(p_size) pages")
-    new = part.where("p_partkey between 200 and 400").selectExpr(
+    base = part.where("p_size <= 35").selectExpr("p_partkey k", "p_name name", "p_brand descr", "array(p_size) pages")
+    new = part.where("p_size > 15").selectExpr(
         "p_partkey k", "upper(p_name) name", "if(p_partkey % 3 = 0, p_type, null) descr", "array(p_size, p_size + 1) pages"
     )
     return upserted(base, new, ["k"], ["name"], ["descr"], ["pages"]).withColumn("pages", F.array_join("pages", ","))
@@ -168,9 +172,9 @@ def metadata_merge(spark, sf_dir):
     )
 
 
-@query("""WITH names AS (SELECT p_partkey AS entity_id, p_type AS document_id, p_name AS name FROM part WHERE p_partkey < 500),
+@query("""WITH names AS (SELECT p_partkey AS entity_id, p_type AS document_id, p_name AS name FROM part WHERE p_size <= 25),
 edges AS (SELECT a.p_partkey AS relationship_id, a.p_type AS document_id, a.p_name AS source_name, CASE WHEN a.p_partkey % 5 = 0 THEN 'nobody' ELSE b.p_name END AS target_name, a.p_brand AS kind
-  FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 1) % 2000 WHERE a.p_partkey < 1500)
+  FROM part a JOIN part b ON b.p_partkey = (a.p_partkey * 7 + 1) % (SELECT count(*) FROM part))
 SELECT relationship_id, coalesce(s.own, sa.other) AS source, coalesce(t.own, ta.other) AS target, kind FROM edges e
 LEFT JOIN (SELECT document_id, name, min(entity_id) AS own FROM names GROUP BY 1, 2) s ON s.document_id = e.document_id AND s.name = e.source_name
 LEFT JOIN (SELECT name, min(entity_id) AS other FROM names GROUP BY 1) sa ON sa.name = e.source_name
@@ -179,8 +183,9 @@ LEFT JOIN (SELECT name, min(entity_id) AS other FROM names GROUP BY 1) ta ON ta.
 WHERE coalesce(s.own, sa.other) IS NOT NULL AND coalesce(t.own, ta.other) IS NOT NULL""")
 def edge_resolution(spark, sf_dir):
     part = load(spark, sf_dir, "part")
-    names = part.where("p_partkey < 500").selectExpr("p_partkey entity_id", "p_type document_id", "p_name name")
-    a = part.where("p_partkey < 1500").selectExpr("p_partkey relationship_id", "p_type document_id", "p_name source_name", "p_brand kind", "(p_partkey * 7 + 1) % 2000 other")
+    names = part.where("p_size <= 25").selectExpr("p_partkey entity_id", "p_type document_id", "p_name name")
+    counted = part.crossJoin(F.broadcast(part.agg(F.count("*").alias("n"))))  # one row
+    a = counted.selectExpr("p_partkey relationship_id", "p_type document_id", "p_name source_name", "p_brand kind", "(p_partkey * 7 + 1) % n other")
     b = part.selectExpr("p_partkey other", "p_name target")
     edges = a.join(b, "other").selectExpr("relationship_id", "document_id", "source_name", "if(relationship_id % 5 = 0, 'nobody', target) target_name", "kind")
     return resolved_edges(edges, names)

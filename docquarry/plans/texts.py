@@ -92,10 +92,10 @@ def substring_pairs(spark, sf_dir):
     return contained_pairs(_names(spark, sf_dir).withColumn("kind", F.lit("part"))).select("short_id", "long_id", "short", "long")
 
 
-@query("""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || '/' || CAST(year(o_orderdate) AS VARCHAR) AS citation FROM orders WHERE o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || '/' || CAST(year(o_orderdate) AS VARCHAR) AS citation FROM orders""")
 def citation_extract(spark, sf_dir):
     text = F.concat(F.lit("zákon č. "), F.col("o_orderkey"), F.lit("/"), F.year("o_orderdate"), F.lit(" Sb., § 3"))
-    rows = load(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    rows = load(spark, sf_dir, "orders")
     return rows.select("o_orderkey", T.citation_number(text).alias("citation"))
 
 

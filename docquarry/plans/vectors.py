@@ -80,13 +80,14 @@ def semantic_components(spark, sf_dir):
     return merge_map(neighbours(load(spark, sf_dir, "embeddings"), 3, 0.3))
 
 
-@query(_MERGED + """, edges AS (SELECT vec_id AS relationship_id, vec_id AS source, (vec_id * 7 + 3) % 500 AS target, label % 3 AS kind FROM embeddings WHERE vec_id < 500),
+@query(_MERGED + """, edges AS (SELECT vec_id AS relationship_id, vec_id AS source, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS target, label % 3 AS kind FROM embeddings),
 moved AS (SELECT relationship_id, coalesce(s.canonical_id, source) AS source, coalesce(t.canonical_id, target) AS target, kind
 FROM edges LEFT JOIN mapping s ON s.entity_id = source LEFT JOIN mapping t ON t.entity_id = target)
 SELECT min(relationship_id) AS relationship_id, source, target, kind FROM moved WHERE source <> target GROUP BY source, target, kind""")
 def merge_poststate(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings")
-    edges = rows.where("vec_id < 500").selectExpr("vec_id relationship_id", "vec_id source", "(vec_id * 7 + 3) % 500 target", "label % 3 kind")
+    counted = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
+    edges = counted.selectExpr("vec_id relationship_id", "vec_id source", "(vec_id * 7 + 3) % n target", "label % 3 kind")
     return remapped_edges(edges, merge_map(neighbours(rows, 3, 0.3)))
 
 
