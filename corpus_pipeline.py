@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.lineage import ensure_checkpoint_dir
+from docquarry.lineage import CLEANUP, ensure_checkpoint_dir, remove, settings
 from docquarry.llm import lines, packing, pii, quality, simhash
 from docquarry.sources import load
 
@@ -53,10 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is between them is written to the shared checkpoint folder."""
+    """All stages over documents; what is between them is written to the shared checkpoint
+    folder, and deleted when the next stage has been written, but for the last."""
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with settings(spark, {CLEANUP: "true"}):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
