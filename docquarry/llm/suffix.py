@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut
+from docquarry.lineage import cut, tidied
 from docquarry.llm import filters
 from docquarry.llm.common import bounded_batches, narrow
 
@@ -487,6 +487,7 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[last:]])
 
 
+@tidied
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row: kept holds the bytes that stay.
 
@@ -495,8 +496,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are empty. Rows that share a doc_id are one document for this: none takes bytes from another, and
     each loses what any of them has in common with earlier ones.
     """
-    spans = repeated_spans(docs)
-    rows = docs.selectExpr("doc_id", "cast(coalesce(text, '') as binary) text").join(spans, "doc_id", "left")
+    spans = cut(repeated_spans(docs))
+    rows = docs.selectExpr("doc_id", "cast(coalesce(text, '') as binary) text", "xxhash64(doc_id) h")
+    words = filters.filter_words(spans.count())
+    rows = filters.tested(rows, "h", words, filters.build(spans.selectExpr("xxhash64(doc_id) h"), words)).drop("h")
+    # texts move only for documents that may have spans
+    some = rows.where("maybe").drop("maybe").join(spans, "doc_id", "left")
+    none = rows.where("not maybe").drop("maybe").withColumn(spans.columns[1], F.lit(None).cast(spans.schema[1].dataType))
+    rows = some.unionByName(none)
 
     def run(batches):
         for batch in batches:
