@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut
+from docquarry.lineage import cut, tidied
 from docquarry.llm import filters
 from docquarry.llm.common import bounded_batches, narrow
 
@@ -184,6 +184,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return marks.where("quality = 1 and toxic = 0").select("doc_id")
 
 
+@tidied
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for every row of docs.
 
@@ -209,6 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@tidied
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept; rows with a null doc_id stay only if all such rows are kept."""
     bad = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("_bad")).distinct()

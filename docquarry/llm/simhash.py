@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut
+from docquarry.lineage import cut, tidied
 from docquarry.llm.common import narrow, word_blocks
 from docquarry.operators.components import connected_components
 from docquarry.operators.skew import spread_join
@@ -142,6 +142,7 @@ def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return out.distinct()
 
 
+@tidied
 def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
@@ -163,6 +164,7 @@ def near_duplicates(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     )
 
 
+@tidied
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One row of docs for each near-duplicate component: that of the smallest doc_id, nulls last.
 
