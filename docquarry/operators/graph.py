@@ -150,3 +150,24 @@ def last_rows(rows: DataFrame, key: str, order: list, keep: int) -> DataFrame:
     """The last `keep` rows of each key in that order."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+
+
+def listed(members: DataFrame, least: int) -> DataFrame:
+    """(level, community, size, nodes): communities of at least so many of members (level, community, node), with
+    their sorted nodes."""
+    whole = members.groupBy("level", "community").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("node")).alias("nodes"))
+    return whole.where(F.col("size") >= least)
+
+
+def chain_ends(links: DataFrame) -> DataFrame:
+    """(node, final): where the walk along links (a, b), of which each a has one, ends; walks that run into a
+    cycle end at its smallest node. Each round doubles the steps taken."""
+    links = cut(links.selectExpr("a node", "b at", "b low"))
+    walks = links
+    for _ in range(links.count().bit_length() + 1):
+        ahead = walks.selectExpr("node at", "at then", "low lower")
+        walks = cut(walks.join(ahead, "at", "left").selectExpr("node", "coalesce(then, at) at", "least(low, lower) low"))
+        if not walks.join(links.selectExpr("node at"), "at", "left_semi").limit(1).count():
+            return walks.selectExpr("node", "at final")
+    round_ = walks.selectExpr("node at", "low")
+    return walks.drop("low").join(round_, "at", "left").selectExpr("node", "coalesce(low, at) final")

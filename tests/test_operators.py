@@ -100,3 +100,9 @@ def test_streaks(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate("fffsff")], "k long, i long, r string")
     got = [r.run for r in state.streaks(rows, "k", ["i"], "r = 'f'").orderBy("i").collect()]
     assert got == [1, 2, 3, 0, 1, 2]
+
+
+def test_chains_end_and_cycles_end_at_their_smallest(spark):
+    links = [(i, i + 1) for i in range(1, 9)] + [(20, 21), (21, 22), (22, 20), (30, 21)]
+    got = {r.node: r.final for r in graph.chain_ends(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 9 for i in range(1, 9)}, 20: 20, 21: 20, 22: 20, 30: 20}
