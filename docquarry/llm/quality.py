@@ -1,11 +1,17 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model reads characters, folded into SYMBOLS classes, in n-grams of ORDER. Trusted documents, all
-of them, are counted by task; the counts are sharded by n-gram, and joins of the count tables with
-their contexts and with the next lower order give discounts, back-off weights and probabilities. The
-finished table has at most SYMBOLS ** ORDER entries whatever the corpus, so every task can hold it and
-scores its documents without moving their text. A document is rejected if its perplexity is above the
-threshold of its language, a quantile over that language's trusted documents with a margin.
+The model reads whole characters, none folded, in n-grams of ORDER. Trusted documents, but for one fold of
+HELD, are all counted; what is gathered grows with the input and stays in tables sharded by n-gram. Joins of
+the count tables with their contexts and with the next lower order give discounts, back-off weights and
+probabilities.
+
+Documents are scored by count joins too. A block is a run of about BLOCK characters of one partition of the
+documents. Each block lists its different n-grams once; the different ones of all blocks meet the tables of
+every order; their scores go back to the blocks that listed them, where they meet the packed texts, one block
+after another. So what moves is a row for each n-gram of a block, not for each place of a text.
+
+A document is rejected if its perplexity is above the threshold of its language, a quantile over that
+language's trusted documents of the fold that was not counted, with a margin.
 """
 
 from __future__ import annotations
@@ -15,82 +21,186 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut, tidied
+from docquarry.lineage import cut, drop, tidied
 from docquarry.llm import filters
 from docquarry.llm.common import bounded_batches, narrow
+from docquarry.operators.skew import spread_join
 
-SYMBOLS, ORDER = 48, 4
-#: Quantile of the trusted documents of a language, and what is added to the log2 perplexity there.
+ORDER = 5
+#: One in so many trusted texts, by a hash of the text, isn't counted: thresholds come from those.
+HELD = 5
+#: Quantile of the held-out trusted documents of a language, and what is added to the log2 perplexity there.
 QUANTILE, MARGIN = 0.99, 0.12
 #: A text is judged as if so many symbols of its language's median stood behind it: a few words are
 #: little evidence.
 PRIOR = 64
-PART = 1 << 20
-
-_classes: list[np.ndarray] = []
-
-
-def _class_table() -> np.ndarray:
-    """Class of each code point: 26 letters, capitals, 8 groups of other letters, digits, blank, line
-    end, and groups of marks."""
-    if not _classes:
-        table = np.full(0x3000, 47, np.int32)
-        for i in range(len(table)):
-            c = chr(i)
-            if "a" <= c <= "z":
-                table[i] = i - 97
-            elif c.isupper():
-                table[i] = 26
-            elif c.isalpha():
-                table[i] = 27 + i % 8
-            elif c.isdigit():
-                table[i] = 35
-            elif c == "\n":
-                table[i] = 37
-            elif c.isspace():
-                table[i] = 36
-            elif c in ".,":
-                table[i] = 38 + ".,".index(c)
-            elif c in "'\"-":
-                table[i] = 40
-            elif c in "!?":
-                table[i] = 41
-            elif 32 < i < 127:
-                table[i] = 42 + i % 5
-        _classes.append(table)
-    return _classes[0]
-
-
-def codes(text: str):
-    """Codes of the n-grams of a text, in parts; the text stands behind line ends."""
-    table = _class_table()
-    tail = np.full(ORDER - 1, 37, np.int32)
-    for at in range(0, len(text), PART):
-        point = np.frombuffer(text[at : at + PART].encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbol = np.concatenate([tail, table[np.minimum(point, len(table) - 1)]])
-        n = len(symbol) - ORDER + 1
-        code = symbol[:n].copy()
-        for i in range(1, ORDER):
-            code *= SYMBOLS
-            code += symbol[i : i + n]
-        yield code
-        tail = symbol[-(ORDER - 1) :]
+#: Characters worked on at once, and characters of a block.
+PART, BLOCK = 1 << 20, 32 << 20
+
+_PAD = "\n" * (ORDER - 1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LISTED = "block long, gram string"
+_PACKED = "block long, ids array<long>, langs array<string>, folds array<int>, sizes array<long>, bytes long, texts binary"
+
+
+def hashed(joined: str) -> np.ndarray:
+    """64-bit hashes of all runs of ORDER characters."""
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = max(len(points) - ORDER + 1, 0)
+    code = np.zeros(n, np.uint64)
+    for i in range(ORDER):
+        code *= _MIX
+        code += points[i : i + n]
+    return code
+
+
+def windows(texts):
+    """(joined, rows, codes, starts) of about PART characters of the texts at once: the number of the text, the
+    hash and the place in `joined` of each n-gram. A text has as many n-grams as characters, as it stands
+    behind line ends."""
+    held, rows, sizes, total = [], [], [], 0
+
+    def flush():
+        size = np.array(sizes)
+        ends = np.cumsum(size)
+        starts = np.arange(ends[-1]) + np.repeat(np.arange(len(size)) * (ORDER - 1), size)
+        joined = "".join(held)
+        return joined, np.repeat(np.array(rows), size), hashed(joined)[starts], starts
+
+    for row, text in enumerate(texts):
+        padded = _PAD + (text or "")
+        for at in range(0, len(padded) - ORDER + 1, PART):
+            held.append(padded[at : at + PART + ORDER - 1])
+            rows.append(row)
+            sizes.append(len(held[-1]) - ORDER + 1)
+            total += sizes[-1]
+            if total >= PART:
+                yield flush()
+                held, rows, sizes, total = [], [], [], 0
+    if held:
+        yield flush()
+
+
+def _places(wanted: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each code its place in the sorted array wanted, -1 where it isn't there."""
+    if not len(wanted):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)
+    return np.where(wanted[at] == codes, at, -1)
+
+
+def _texts_at_once(batches, column: int):
+    """Lists of texts of about PART characters over the batches."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(column).to_pylist():
+            held.append(text)
+            size += len(text or "")
+            if size >= PART:
+                yield held
+                held, size = [], 0
+    yield held
 
 
 def _counts(batches):
-    total, held, size = np.zeros(SYMBOLS**ORDER, np.int64), [], 0
+    for texts in _texts_at_once(batches, 0):
+        for joined, _, codes, starts in windows(texts):
+            _, first, n = np.unique(codes, return_index=True, return_counts=True)
+            grams = [joined[s : s + ORDER] for s in starts[first].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+
+def _blocks(batches):
+    """(block, rows) in the order of a partition; both passes over the same rows give the same blocks.
+
+    rows are lists of the values of the columns behind the first, which is the number of the partition."""
+    size, number = 0, 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for code in codes(text or ""):
-                held.append(code)
-                size += len(code)
-                if size > 1 << 21:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-    if held:
-        total += np.bincount(np.concatenate(held), minlength=len(total))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["code", "n"])
+        part = batch.column(0)[0].as_py() if batch.num_rows else 0
+        columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
+        yield (part << 24) + number, columns
+        size += sum(len(t or "") for t in columns[0])
+        if size >= BLOCK:
+            size, number = 0, number + 1
+
+
+def _listed(batches):
+    now, known, held, size = None, np.zeros(0, np.uint64), [], 0
+
+    def fresh():
+        nonlocal known
+        for joined, _, codes, starts in windows(held):
+            new = np.unique(codes)
+            new = new[_places(known, new) < 0]
+            if len(new):
+                at = _places(new, codes)
+                place = np.zeros(len(new), np.int64)
+                place[at[at >= 0]] = starts[at >= 0]
+                known = np.sort(np.concatenate([known, new]))
+                grams = [joined[s : s + ORDER] for s in place.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(grams), now, np.int64)), pa.array(grams, pa.string())], ["block", "gram"]
+                )
+
+    for block, (texts,) in _blocks(batches):
+        if block != now or size >= 4 * PART:
+            yield from fresh()
+            held, size = [], 0
+        if block != now:
+            now, known = block, np.zeros(0, np.uint64)
+        held += texts
+        size += sum(len(t or "") for t in texts)
+    yield from fresh()
+
+
+def _packed(batches):
+    codec = pa.Codec("zstd")
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+    names = ["block", "ids", "langs", "folds", "sizes", "bytes", "texts"]
+    for block, (texts, ids, langs, folds) in _blocks(batches):
+        data = "".join(t or "" for t in texts).encode("utf-8", "surrogatepass")
+        row = (block, ids, langs, folds, [len(t or "") for t in texts], len(data), codec.compress(data, asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+
+
+def _scored(batches):
+    """Rows come by block, its scored n-grams before its packed texts."""
+    codec = pa.Codec("zstd")
+    now, keys, bits, sorted_ = None, [], [], False
+    for batch in batches:
+        blocks, packs = batch.column(0).to_numpy(), batch.column("bytes")
+        packed = packs.is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(packed.astype(np.int8)) != 0)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)]):
+            if lo == hi:
+                continue
+            if blocks[lo] != now:
+                now, keys, bits, sorted_ = blocks[lo], [], [], False
+            if not packed[lo]:
+                grams = batch.column("gram").slice(lo, hi - lo).to_pylist()
+                keys.append(hashed("".join(grams))[::ORDER])
+                bits.append(batch.column("bits").slice(lo, hi - lo).to_numpy())
+                continue
+            if not sorted_:
+                key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                order = np.argsort(key)
+                key, worth = key[order], (np.concatenate(bits) if bits else np.zeros(0))[order]
+                sorted_ = True
+            for row in batch.slice(lo, hi - lo).to_pylist():
+                text = codec.decompress(row["texts"], row["bytes"], asbytes=True).decode("utf-8", "surrogatepass")
+                ends = np.cumsum(row["sizes"]).tolist()
+                total = np.zeros(len(ends))
+                for _, rows, codes, _ in windows([text[e - s : e] for s, e in zip(row["sizes"], ends)]):
+                    at = _places(key, codes)
+                    if (at < 0).any():
+                        raise RuntimeError("the documents gave other rows when they were read again")
+                    total += np.bincount(rows, worth[at], len(total))
+                each = [-t / s if s else None for t, s in zip(total.tolist(), row["sizes"])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(row["folds"], pa.int32()),
+                     pa.array(row["sizes"], pa.int64()), pa.array(each, pa.float64())],
+                    ["doc_id", "lang", "fold", "symbols", "bits"],
+                )
 
 
 def trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -111,69 +221,61 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
 
-def _order(counts: DataFrame, lower: DataFrame | None, size: int) -> tuple[DataFrame, DataFrame]:
-    """(code, p) of the n-grams of one order, and (context, gamma) of what precedes their last symbol.
+def probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, p): the probability of the last symbol of every different `gram`, given those before.
 
-    counts has code and n: raw for the highest order, else the number of different symbols in front.
-    lower has the probabilities of the next lower order, which are `size` at most.
-    """
-    d1, d2, d3 = _discounts(counts)
-    taken = f"if(n = 1, {d1}D, if(n = 2, {d2}D, {d3}D))"
-    counts = counts.withColumn("context", F.expr(f"code div {SYMBOLS}"))
-    contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.expr(f"sum({taken}) taken"))
-    contexts = contexts.selectExpr("context", "total", "taken / total gamma")
-    joined = counts.join(contexts, "context").selectExpr("code", "gamma", f"(n - {taken}) / total own")
-    if lower is None:
-        probs = joined.selectExpr("code", f"own + gamma / {SYMBOLS} p")
-    else:
-        below = lower.withColumnsRenamed({"code": "suffix", "p": "below"})
-        joined = joined.withColumn("suffix", F.expr(f"code % {size}L"))
-        probs = joined.join(below, "suffix").selectExpr("code", "own + gamma * below p")
-    return probs, contexts.select("context", "gamma")
-
-
-def kneser_ney(counts: DataFrame) -> np.ndarray:
-    """log2 of the probability of the last symbol of every n-gram, given the others.
-
-    counts has a row (code, n) for each n-gram seen. Without any all symbols are equally likely.
+    counts has (gram, n) of the n-grams of ORDER symbols that were seen. The orders below count the different
+    symbols in front of each of their n-grams. Below the lowest stands an even share for each symbol seen and
+    one for all others; so it is where nothing was seen.
     """
-    orders = [cut(counts)]
-    for k in range(ORDER - 1, 0, -1):
-        orders.append(cut(orders[-1].groupBy(F.expr(f"code % {SYMBOLS**k}L").alias("code")).agg(F.count("*").alias("n"))))
-    dense, lower = np.full(1, 1 / SYMBOLS), None
-    for k, own in enumerate(reversed(orders), 1):
-        probs, weights = _order(own, lower, SYMBOLS ** (k - 1))
-        lower = cut(probs)
-        seen, rest = lower.toPandas(), weights.toPandas()  # SYMBOLS ** k rows at most
-        gamma = np.ones(SYMBOLS ** (k - 1))
-        gamma[rest["context"].to_numpy(np.int64)] = rest["gamma"].to_numpy(np.float64)
-        dense = np.repeat(gamma, SYMBOLS) * (np.tile(dense, SYMBOLS) if k > 1 else dense[0])
-        dense[seen["code"].to_numpy(np.int64)] = seen["p"].to_numpy(np.float64)
-    return np.log2(np.maximum(dense, 1e-12)).astype(np.float32)
+    seen = [cut(counts)]
+    for _ in range(1, ORDER):
+        seen.append(cut(seen[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))))
+    wanted = [grams]
+    for _ in range(1, ORDER):
+        wanted.append(cut(wanted[-1].select(F.expr("substring(gram, 2)").alias("gram")).distinct()))
+    below, base = None, 1.0 / (seen[-1].count() + 1)
+    for k, (own, asked) in enumerate(zip(reversed(seen), reversed(wanted)), 1):
+        d1, d2, d3 = _discounts(own)
+        taken = f"if(n = 1, {d1}D, if(n = 2, {d2}D, {d3}D))"
+        own = own.selectExpr("gram", "n", f"left(gram, {k - 1}) context")
+        contexts = own.groupBy("context").agg(F.sum("n").alias("total"), F.expr(f"sum({taken}) taken"))
+        rows = asked.selectExpr("gram", f"left(gram, {k - 1}) context", "substring(gram, 2) suffix")
+        rows = rows.join(own.select("gram", "n"), "gram", "left").join(contexts, "context", "left")
+        if below is None:
+            rows = rows.withColumn("below", F.lit(base))
+        else:
+            rows = rows.join(below.withColumnsRenamed({"gram": "suffix", "p": "below"}), "suffix")
+        p = f"coalesce((n - {taken}) / total, 0D) + coalesce(taken / total, 1D) * below p"
+        then = cut(rows.selectExpr("gram", p))
+        if below is not None:
+            drop(below)
+        below = then
+    drop(*seen, *wanted[1:])
+    return below
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, symbols, bits) of every row: bits for each symbol, null for texts without any."""
-    counted = narrow(trusted_rows(docs.select("doc_id", "text"), trusted), "text")
-    counts = counted.mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    """(doc_id, lang, fold, symbols, bits) of every row: bits for each symbol, null for texts without any.
+
+    Texts of fold 0 aren't counted. docs is read three times and must give the same rows in the same partitions,
+    as tables in files do; where it doesn't, the job fails.
+    """
+    fold = f"cast(pmod(xxhash64(text), {HELD}) as int)"
+    counted = narrow(trusted_rows(docs.select("doc_id", "text"), trusted).where(f"{fold} <> 0"), "text")
+    counts = counted.mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    part = "cast(spark_partition_id() as bigint) part"
+    listed = cut(narrow(docs, part, "text").mapInArrow(_listed, _LISTED))
+    grams = cut(listed.select("gram").distinct())
+    probs = probabilities(grams, counts)
+    worth = listed.join(probs.selectExpr("gram", "log2(p) bits"), "gram")
+    packed = narrow(docs, part, "text", "cast(doc_id as bigint) doc_id", "lang", f"{fold} fold").mapInArrow(_packed, _PACKED)
+    rows = worth.unionByName(packed, allowMissingColumns=True).select("block", "gram", "bits", "ids", "langs", "folds", "sizes", "bytes", "texts")
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(kneser_ney(counts))
-
-    def run(batches):
-        table = shared.value
-        for batch in batches:
-            bits = []
-            for text in batch.column(2).to_pylist():
-                total = sum(float(table[code].sum(dtype=np.float64)) for code in codes(text)) if text else 0.0
-                bits.append(-total / len(text) if text else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(bits, pa.float64())],
-                ["doc_id", "lang", "symbols", "bits"],
-            )
-
-    return narrow(docs, "doc_id", "lang", "text", "cast(length(text) as bigint) symbols").mapInArrow(
-        run, "doc_id long, lang string, symbols long, bits double"
-    )
+    scored = rows.repartition("block").sortWithinPartitions("block", F.col("bytes").isNotNull())
+    scored = cut(scored.mapInArrow(_scored, "doc_id long, lang string, fold int, symbols long, bits double"))
+    drop(listed, grams, probs)
+    return scored
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -188,20 +290,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) for every row of docs.
 
-    Languages without trusted documents, and rows without a language, take the threshold of all
-    trusted documents together; without any trusted document all are kept. Null and empty texts have
-    no perplexity and are kept. Repeated rows give repeated results.
+    Languages without held-out trusted documents, and rows without a language, take the threshold of all
+    held-out trusted documents together; without any such document all are kept. Null and empty texts have
+    no perplexity and are kept. Repeated rows give repeated results; an empty table gives none. Very long
+    texts are read whole, in parts.
     """
     trusted = trusted_ids(labels)
-    scored = cut(perplexities(docs, trusted))
-    good = scored.join(trusted, "doc_id", "left_semi").where("bits is not null")
+    scored = perplexities(docs, trusted)
+    good = scored.where("fold = 0 and bits is not null").join(trusted, "doc_id", "left_semi")
     limits = [
         F.expr("percentile_approx(bits, 0.5, 10000) usual"),
         F.expr(f"percentile_approx(bits, {QUANTILE}, 10000) + {MARGIN} top"),
     ]
     by_lang = good.where("lang is not null").groupBy("lang").agg(*limits)
     usual, top = (F.lit(x).cast("double") for x in good.agg(*limits).first())
-    rows = scored.join(by_lang, "lang", "left").withColumns(
+    rows = spread_join(scored, by_lang, "lang", kind="left").withColumns(
         {"usual": F.coalesce("usual", usual), "top": F.coalesce("top", top)}
     )
     return rows.selectExpr(

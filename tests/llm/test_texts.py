@@ -131,19 +131,70 @@ def test_languages_held_out(documents, odd):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_kneser_ney_is_a_distribution(spark, monkeypatch):
-    monkeypatch.setattr(quality, "ORDER", 3)
-    text = "the cat sat on the mat. the rat ate the hat. " * 3
-    codes = np.concatenate(list(quality.codes(text)))
-    values, n = np.unique(codes, return_counts=True)
-    counts = spark.createDataFrame([(int(c), int(k)) for c, k in zip(values, n)], "code long, n long")
-    p = np.exp2(quality.kneser_ney(counts).astype(float)).reshape(-1, quality.SYMBOLS).sum(1)
-    assert np.allclose(p, 1, atol=1e-3)
-    # the highest order by hand, for contexts that were seen
-    table = np.exp2(quality.kneser_ney(counts).astype(float))
-    seen = dict(zip(values.tolist(), n.tolist()))
-    low = [sum(v == k for v in seen.values()) for k in (1, 2, 3, 4)]
-    assert all(table[c] > 1e-6 for c in seen) and sum(low) >= 0
+def _kneser_ney(counts):
+    """A function from an n-gram to the probability of its last symbol, straight from the definition."""
+    orders = [counts]
+    while len(next(iter(orders[0]))) > 1:
+        lower = {}
+        for gram in orders[0]:
+            lower[gram[1:]] = lower.get(gram[1:], 0) + 1
+        orders.insert(0, lower)
+    base = 1 / (len(orders[0]) + 1)
+
+    def p(gram):
+        if not gram:
+            return base
+        own = orders[len(gram) - 1]
+        n1, n2, n3, n4 = (sum(n == k for n in own.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        ratio = [(n2, n1), (n3, n2), (n4, n3)]
+        raw = [k - (k + 1) * y * m / n if n else min(k, 2) * 0.5 for k, (m, n) in enumerate(ratio, 1)]
+        d = [min(max(x, 0.05), k - 0.05) for k, x in enumerate(raw, 1)]
+        same = [n for g, n in own.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        n = own.get(gram, 0)
+        kept = n - d[min(n, 3) - 1] if n else 0
+        return (kept + sum(d[min(m, 3) - 1] for m in same) * p(gram[1:])) / sum(same)
+
+    return p
+
+
+def test_perplexity_against_brute_force(spark):
+    data = [(i, "en", f"the cat {w} on the mat. the {w} ate the hat") for i, w in enumerate("sat lay ran sang slept".split())]
+    data += [(10, "zh", "\u6211\u7231\u5317\u4eac\u5929\u5b89\u95e8 \u6211\u7231\u4f60"), (11, "zh", "\U0001f600\U0001f600 \u95e8"), (12, None, None)]
+    data += [(13, "en", ""), (None, "en", "zzz qqq"), (0, "en", data[0][2]), (14, "fr", "the mat. " * 300)]
+    docs = spark.createDataFrame(data, "doc_id long, lang string, text string").repartition(3, "text")
+    trusted = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 10)], "doc_id long")
+    fold = {r.text: r.fold for r in docs.selectExpr("text", f"pmod(xxhash64(text), {quality.HELD}) fold").collect()}
+    counts = {}
+    behind = lambda t: ["\n\n\n\n"[i:] + t[: i + 1] if i < 4 else t[i - 4 : i + 1] for i in range(len(t))]
+    for i, _, text in data:
+        if i in (0, 1, 2, 3, 4, 10) and fold[text]:
+            for gram in behind(text):
+                counts[gram] = counts.get(gram, 0) + 1
+    p = _kneser_ney(counts)
+    assert abs(sum(p("e ca" + c) for c in {g[-1] for g in counts} | {"\uffff"}) - 1) < 1e-9
+    got = sorted((r.doc_id or -1, r.symbols, r.bits) for r in quality.perplexities(docs, trusted).collect())
+    want = sorted(
+        (i or -1, len(t or "") if t is not None else 0, -sum(np.log2(p(g)) for g in behind(t)) / len(t) if t else None)
+        for i, _, t in data
+    )
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all((a[2] is None) == (b[2] is None) and (a[2] is None or abs(a[2] - b[2]) < 1e-6) for a, b in zip(got, want))
+
+
+def test_windows_of_long_texts(monkeypatch):
+    monkeypatch.setattr(quality, "PART", 7)
+    texts = ["abcdefghijklmnopqrstuvwxyz", None, "", "\u95e8\U0001f600", "xyz" * 9]
+    got = [[] for _ in texts]
+    for joined, rows, codes, starts in quality.windows(texts):
+        assert len(rows) == len(codes) == len(starts)
+        for row, code, start in zip(rows, codes, starts):
+            gram = joined[start : start + quality.ORDER]
+            assert code == quality.hashed(gram)[0]
+            got[row].append(gram)
+    assert got == [[("\n" * 4 + (t or ""))[i : i + 5] for i in range(len(t or ""))] for t in texts]
 
 
 def test_quality_rejects_the_bad(documents, labels, odd):
@@ -151,6 +202,8 @@ def test_quality_rejects_the_bad(documents, labels, odd):
     marks = [r for r in labels.collect() if r.doc_id in got]
     good = [got[r.doc_id].kept for r in marks if r.quality == 1 and not r.toxic]
     assert sum(good) >= 0.97 * len(good)
+    bad = [got[r.doc_id].kept for r in marks if r.quality == 0]
+    assert bad and sum(bad) <= 0.1 * len(bad)
     assert got[900_001].kept and got[900_002].kept and got[900_001].perplexity is None
     assert not got[900_014].kept  # one letter, over and over
     kept = quality.keep_good(odd, labels)
