@@ -81,12 +81,38 @@ def windows(texts):
         yield flush()
 
 
-def _places(wanted: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """For each code its place in the sorted array wanted, -1 where it isn't there."""
-    if not len(wanted):
-        return np.full(len(codes), -1)
-    at = np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)
-    return np.where(wanted[at] == codes, at, -1)
+class Places:
+    """The place of each of some different codes in the array of them.
+
+    Most are found by one look at a table, those whose slot another code took by a binary search.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.append(codes, np.uint64(0))
+        bits = max(int(len(codes)).bit_length() + 3, 10)
+        self.shift = np.uint64(64 - bits)
+        self.table = np.full(1 << bits, len(codes), np.int32)
+        slot = self._slot(codes)
+        self.table[slot] = np.arange(len(codes), dtype=np.int32)
+        late = np.flatnonzero(self.table[slot] != np.arange(len(codes)))
+        self.late = late[np.argsort(codes[late])]
+        self.late_codes = codes[self.late]
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * _MIX) >> self.shift
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The places, -1 where a code isn't there."""
+        at = self.table[self._slot(codes)]
+        none = np.int32(len(self.codes) - 1)
+        missed = np.flatnonzero((self.codes[at] != codes) | (at == none))
+        at[missed] = -1
+        if len(self.late) and len(missed):
+            left = codes[missed]
+            near = np.minimum(np.searchsorted(self.late_codes, left), len(self.late) - 1)
+            found = self.late_codes[near] == left
+            at[missed[found]] = self.late[near[found]]
+        return at
 
 
 def _texts_at_once(batches, column: int):
@@ -125,19 +151,17 @@ def _blocks(batches):
 
 
 def _listed(batches):
-    now, known, held, size = None, np.zeros(0, np.uint64), [], 0
+    none = Places(np.zeros(0, np.uint64))
+    now, known, held, size = None, none, [], 0
 
     def fresh():
         nonlocal known
         for joined, _, codes, starts in windows(held):
-            new = np.unique(codes)
-            new = new[_places(known, new) < 0]
+            other = np.flatnonzero(known.find(codes) < 0)
+            new, first = np.unique(codes[other], return_index=True)
             if len(new):
-                at = _places(new, codes)
-                place = np.zeros(len(new), np.int64)
-                place[at[at >= 0]] = starts[at >= 0]
-                known = np.sort(np.concatenate([known, new]))
-                grams = [joined[s : s + ORDER] for s in place.tolist()]
+                known = Places(np.concatenate([known.codes[:-1], new]))
+                grams = [joined[s : s + ORDER] for s in starts[other[first]].tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(grams), now, np.int64)), pa.array(grams, pa.string())], ["block", "gram"]
                 )
@@ -147,7 +171,7 @@ def _listed(batches):
             yield from fresh()
             held, size = [], 0
         if block != now:
-            now, known = block, np.zeros(0, np.uint64)
+            now, known = block, none
         held += texts
         size += sum(len(t or "") for t in texts)
     yield from fresh()
@@ -166,7 +190,7 @@ def _packed(batches):
 def _scored(batches):
     """Rows come by block, its scored n-grams before its packed texts."""
     codec = pa.Codec("zstd")
-    now, keys, bits, sorted_ = None, [], [], False
+    now, keys, bits, ready = None, [], [], False
     for batch in batches:
         blocks, packs = batch.column(0).to_numpy(), batch.column("bytes")
         packed = packs.is_valid().to_numpy(zero_copy_only=False)
@@ -175,23 +199,22 @@ def _scored(batches):
             if lo == hi:
                 continue
             if blocks[lo] != now:
-                now, keys, bits, sorted_ = blocks[lo], [], [], False
+                now, keys, bits, ready = blocks[lo], [], [], False
             if not packed[lo]:
                 grams = batch.column("gram").slice(lo, hi - lo).to_pylist()
                 keys.append(hashed("".join(grams))[::ORDER])
                 bits.append(batch.column("bits").slice(lo, hi - lo).to_numpy())
                 continue
-            if not sorted_:
-                key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                order = np.argsort(key)
-                key, worth = key[order], (np.concatenate(bits) if bits else np.zeros(0))[order]
-                sorted_ = True
+            if not ready:
+                known = Places(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
+                worth = np.concatenate(bits) if bits else np.zeros(0)
+                ready = True
             for row in batch.slice(lo, hi - lo).to_pylist():
                 text = codec.decompress(row["texts"], row["bytes"], asbytes=True).decode("utf-8", "surrogatepass")
                 ends = np.cumsum(row["sizes"]).tolist()
                 total = np.zeros(len(ends))
                 for _, rows, codes, _ in windows([text[e - s : e] for s, e in zip(row["sizes"], ends)]):
-                    at = _places(key, codes)
+                    at = known.find(codes)
                     if (at < 0).any():
                         raise RuntimeError("the documents gave other rows when they were read again")
                     total += np.bincount(rows, worth[at], len(total))
