@@ -7,8 +7,8 @@ probabilities.
 
 Documents are scored by count joins too. A block is a run of about BLOCK characters of one partition of the
 documents. Each block lists its different n-grams once; the different ones of all blocks meet the tables of
-every order; their scores go back to the blocks that listed them, where they meet the packed texts, one block
-after another. So what moves is a row for each n-gram of a block, not for each place of a text.
+every order; their scores go back to the blocks that listed them, gathered by block, where they meet the packed
+texts, one block after another. So what is joined is a row for each n-gram of a block, not for each place of a text.
 
 A document is rejected if its perplexity is above the threshold of its language, a quantile over that
 language's trusted documents of the fold that was not counted, with a margin.
@@ -36,6 +36,10 @@ QUANTILE, MARGIN = 0.99, 0.12
 PRIOR = 64
 #: Characters worked on at once, and characters of a block.
 PART, BLOCK = 1 << 20, 32 << 20
+#: Scored n-grams that a task gathers by block at once.
+BUNDLE = 1 << 18
+#: Level at which texts that move are compressed.
+LEVEL = 6
 
 _PAD = "\n" * (ORDER - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +182,7 @@ def _listed(batches):
 
 
 def _packed(batches):
-    codec = pa.Codec("zstd")
+    codec = pa.Codec("zstd", compression_level=LEVEL)
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
     names = ["block", "ids", "langs", "folds", "sizes", "bytes", "texts"]
     for block, (texts, ids, langs, folds) in _blocks(batches):
@@ -187,12 +191,38 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
 
+def _bundled(batches):
+    """The n-grams of each block, one behind another, with their bits: a row for each block of BUNDLE rows."""
+
+    def flush():
+        table = pa.Table.from_batches(held).sort_by("block")
+        blocks, bits, grams = table["block"].to_numpy(), table["bits"].to_numpy(), table["gram"].to_pylist()
+        edges = (np.flatnonzero(np.diff(blocks)) + 1).tolist()
+        spans = list(zip([0, *edges], [*edges, len(blocks)]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(blocks[[lo for lo, _ in spans]]), pa.array(["".join(grams[lo:hi]) for lo, hi in spans], pa.string()),
+             pa.array([bits[lo:hi].tobytes() for lo, hi in spans], pa.binary())],
+            ["block", "grams", "bits"],
+        )
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= BUNDLE:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
 def _scored(batches):
     """Rows come by block, its scored n-grams before its packed texts."""
     codec = pa.Codec("zstd")
     now, keys, bits, ready = None, [], [], False
     for batch in batches:
-        blocks, packs = batch.column(0).to_numpy(), batch.column("bytes")
+        blocks, packs = batch.column(0).to_numpy(), batch.column("pack")
         packed = packs.is_valid().to_numpy(zero_copy_only=False)
         edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(packed.astype(np.int8)) != 0)) + 1
         for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)]):
@@ -201,15 +231,15 @@ def _scored(batches):
             if blocks[lo] != now:
                 now, keys, bits, ready = blocks[lo], [], [], False
             if not packed[lo]:
-                grams = batch.column("gram").slice(lo, hi - lo).to_pylist()
-                keys.append(hashed("".join(grams))[::ORDER])
-                bits.append(batch.column("bits").slice(lo, hi - lo).to_numpy())
+                for grams in batch.column("grams").slice(lo, hi - lo).to_pylist():
+                    keys.append(hashed(grams)[::ORDER])
+                bits += [np.frombuffer(x) for x in batch.column("bits").slice(lo, hi - lo).to_pylist()]
                 continue
             if not ready:
                 known = Places(np.concatenate(keys) if keys else np.zeros(0, np.uint64))
                 worth = np.concatenate(bits) if bits else np.zeros(0)
                 ready = True
-            for row in batch.slice(lo, hi - lo).to_pylist():
+            for row in packs.slice(lo, hi - lo).to_pylist():
                 text = codec.decompress(row["texts"], row["bytes"], asbytes=True).decode("utf-8", "surrogatepass")
                 ends = np.cumsum(row["sizes"]).tolist()
                 total = np.zeros(len(ends))
@@ -289,15 +319,19 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = counted.mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     part = "cast(spark_partition_id() as bigint) part"
     listed = cut(narrow(docs, part, "text").mapInArrow(_listed, _LISTED))
+    blocks = listed.agg(F.countDistinct("block")).first()[0]
     grams = cut(listed.select("gram").distinct())
     probs = probabilities(grams, counts)
-    worth = listed.join(probs.selectExpr("gram", "log2(p) bits"), "gram")
+    drop(grams)
     packed = narrow(docs, part, "text", "cast(doc_id as bigint) doc_id", "lang", f"{fold} fold").mapInArrow(_packed, _PACKED)
-    rows = worth.unionByName(packed, allowMissingColumns=True).select("block", "gram", "bits", "ids", "langs", "folds", "sizes", "bytes", "texts")
+    packed = packed.select("block", F.struct(*[c for c in packed.columns if c != "block"]).alias("pack"))
+    worth = listed.join(probs, "gram").selectExpr("block", "gram", "log2(p) bits")
+    worth = worth.mapInArrow(_bundled, "block long, grams string, bits binary")
+    rows = worth.unionByName(packed, allowMissingColumns=True).select("block", "grams", "bits", "pack")
     bounded_batches(docs.sparkSession)
-    scored = rows.repartition("block").sortWithinPartitions("block", F.col("bytes").isNotNull())
+    scored = rows.repartition(max(blocks, 1), "block").sortWithinPartitions("block", F.col("pack").isNotNull())
     scored = cut(scored.mapInArrow(_scored, "doc_id long, lang string, fold int, symbols long, bits double"))
-    drop(listed, grams, probs)
+    drop(listed, probs)
     return scored
 
 
