@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 from functools import wraps
 
@@ -45,6 +46,23 @@ def drop(*cuts: DataFrame) -> None:
             remove(df.sparkSession, place.get())
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as read back from a table in the shared checkpoint folder; unlike those of cut(), its size estimates are those of
+    the files, so that they don't multiply over the rounds of a loop."""
+    spark = df.sparkSession
+    place = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    found = spark.read.schema(df.schema).parquet(place)
+    found._place = place
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote; nothing that is still to run may read it."""
+    for df in tables:
+        remove(df.sparkSession, df._place)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of any store that Spark writes to."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
