@@ -14,11 +14,12 @@ from math import factorial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.lineage import stored
 from docquarry.llm.common import narrow
 from docquarry.operators.skew import spread_join
 
 #: Words are maximal runs of other characters than space, \t, \n, \v, \f and \r.
-_WORDS = r"array_remove(split(translate(text, '\t\n\u000b\u000c\r', '     '), ' '), '')"
+_WORDS = r"array_remove(split(text, '[ \t\n\u000b\u000c\r]+'), '')"
 
 #: Failure conditions of a row with text (never null), words (array), n_words, n_distinct and `repeats`,
 #: which says that a row with a smaller doc_id has the same text.
@@ -45,6 +46,7 @@ def failure_masks(docs: DataFrame, filters: dict[str, str] = FILTERS) -> DataFra
     repeats = [1 << k for k, c in enumerate(filters.values()) if c == "repeats"]
     if not repeats:
         return rows.select("doc_id", "part", "mask")
+    rows = stored(rows)  # texts are read once
     groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     # only texts that occur again can repeat; the others need no row of the join
     again = groups.where("n > 1 and first is not null").select("digest", "first")
