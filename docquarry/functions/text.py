@@ -15,9 +15,14 @@ def folded(text) -> Column:
     return F.lower(F.translate(text, ACCENTED, PLAIN))
 
 
+def all_words(text) -> Column:
+    """Words of the folded text in their order."""
+    return F.filter(F.split(folded(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def lexemes(text) -> Column:
     """Different words of the folded text."""
-    return F.array_distinct(F.filter(F.split(folded(text), "[^a-z0-9]+"), lambda w: w != ""))
+    return F.array_distinct(all_words(text))
 
 
 def matches_all(document, query) -> Column:

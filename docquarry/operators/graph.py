@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.lineage import cut
 from docquarry.operators.components import connected_components
-from docquarry.session import ship_package
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -120,27 +117,6 @@ def communities(edges: DataFrame, levels: int = 3) -> DataFrame:
     return out
 
 
-def greedy_matches(pairs: DataFrame) -> DataFrame:
-    """(left, right, score): pairs taken by falling score, ties by left and right, while both ends are
-    free. Components of the bipartite graph of pairs are independent and are matched apart."""
-    ship_package(pairs.sparkSession)
-    links = pairs.select((F.col("left") * 2).alias("src"), (F.col("right") * 2 + 1).alias("dst"))
-    part = connected_components(links).select((F.col("node") / 2).cast("long").alias("left"), "component", "node").where("node % 2 = 0")
-    grouped = pairs.join(part.select("left", "component"), "left")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "left", "right"], ascending=[False, True, True])
-        lefts, rights, keep = set(), set(), np.zeros(len(pdf), bool)
-        for i, (a, b) in enumerate(zip(pdf["left"], pdf["right"])):
-            if a not in lefts and b not in rights:
-                keep[i] = True
-                lefts.add(a)
-                rights.add(b)
-        return pdf.loc[keep, ["left", "right", "score"]]
-
-    return grouped.groupBy("component").applyInPandas(match, "left long, right long, score double")
-
-
 def first_community(membership: DataFrame) -> DataFrame:
     """(node, community): of the communities that hold a node the first by id."""
     return membership.groupBy("node").agg(F.min("community").alias("community"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import graph
 from docquarry.plans.registry import query
+from docquarry.plans.shared import PART_COMMUNITIES, part_communities
 from docquarry.sources import load
 
 _EDGES = "edges AS (SELECT p_partkey AS relationship_id, p_partkey AS source, (p_partkey * 37 + p_size) % (SELECT count(*) FROM part) AS target, p_brand AS kind, 1.0 + p_size % 4 AS weight FROM part)"
@@ -66,6 +67,12 @@ def communities_labelprop(spark, sf_dir):
     return graph.communities(_edges(spark, sf_dir))
 
 
+@query(f"WITH {PART_COMMUNITIES} SELECT level, community, node FROM members")
+def communities_modularity(spark, sf_dir):
+    """Communities of all levels by modularity, on a graph whose communities its columns give."""
+    return part_communities(spark, sf_dir)
+
+
 @query(f"""WITH {_EDGES} SELECT source AS node, min(target % 50) AS community FROM edges GROUP BY source""")
 def node_first_community(spark, sf_dir):
     members = _edges(spark, sf_dir).selectExpr("source node", "target % 50 community")

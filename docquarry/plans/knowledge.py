@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.functions.vectors import cosine
-from docquarry.operators import graph
+from docquarry.operators import fulltext, graph
 from docquarry.operators.evaluation import ratio
 from docquarry.plans.registry import query
+from docquarry.plans.shared import PART_COMMUNITIES, part_communities
 from docquarry.sources import load
 
 
@@ -148,42 +149,34 @@ def chain_resolve(spark, sf_dir):
     return graph.chain_ends(links)
 
 
-_LEVELS = "members AS (SELECT CAST(p_size % 3 AS INTEGER) AS level, p_partkey % 40 AS community, p_partkey AS node FROM part)"
-
-
-def _members(spark, sf_dir):
-    return load(spark, sf_dir, "part").selectExpr("cast(p_size % 3 as int) level", "p_partkey % 40 community", "p_partkey node")
-
-
-@query(f"WITH {_LEVELS} SELECT level, community, CAST(count(*) AS BIGINT) AS size, array_to_string(list_sort(list(node)), ',') AS nodes FROM members GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(f"WITH {PART_COMMUNITIES} SELECT level, community, CAST(count(*) AS BIGINT) AS size, array_to_string(list_sort(list(node)), ',') AS nodes FROM members GROUP BY 1, 2 HAVING count(*) >= 2")
 def community_listing(spark, sf_dir):
     """Communities by level with their sizes and sorted members."""
-    listed = graph.listed(_members(spark, sf_dir), 2)
+    listed = graph.listed(part_communities(spark, sf_dir), 2)
     return listed.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
 
 
-@query(f"WITH {_LEVELS} SELECT level, community, node, p_name, p_type FROM members JOIN part ON p_partkey = node WHERE level = 1")
+@query(f"WITH {PART_COMMUNITIES} SELECT level, community, node, p_name, p_type FROM members JOIN part ON p_partkey = node WHERE level = 1")
 def community_entities(spark, sf_dir):
-    """Entities of the communities of one level: ids unnested and joined."""
-    listed = graph.listed(_members(spark, sf_dir).where("level = 1"), 1)
-    ids = listed.select("level", "community", F.explode("nodes").alias("node"))
+    """Entities of the communities of one level."""
+    ids = part_communities(spark, sf_dir).where("level = 1")
     return ids.join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_name", "p_type"), "node")
 
 
-@query(f"WITH {_LEVELS} SELECT DISTINCT level, community FROM members WHERE node IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_size > 40)")
+@query(f"WITH {PART_COMMUNITIES} SELECT DISTINCT level, community FROM members WHERE node IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_size > 40)")
 def visible_communities(spark, sf_dir):
     """Communities that occur among the nodes that are shown."""
     shown = load(spark, sf_dir, "part").where("p_type = 'ECONOMY' and p_size > 40").select(F.col("p_partkey").alias("node"))
-    return _members(spark, sf_dir).join(shown, "node", "left_semi").select("level", "community").distinct()
+    return part_communities(spark, sf_dir).join(shown, "node", "left_semi").select("level", "community").distinct()
 
 
-@query(f"""WITH {_LEVELS}, t AS (SELECT level, community, string_agg(p_name, ' ' ORDER BY node) AS title FROM members JOIN part ON p_partkey = node GROUP BY 1, 2)
+@query(f"""WITH {PART_COMMUNITIES}, t AS (SELECT level, community, string_agg(p_name, ' ' ORDER BY node) AS title FROM members JOIN part ON p_partkey = node GROUP BY 1, 2)
 SELECT level, community FROM t WHERE level = 1 AND contains(' ' || lower(title) || ' ', ' small ') AND contains(' ' || lower(title) || ' ', ' widget ')""")
 def community_text_search(spark, sf_dir):
-    """Communities of one level whose text has all words of a query."""
-    named = _members(spark, sf_dir).join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_name"), "node").where("level = 1")
-    found = named.groupBy("level", "community").agg(F.flatten(F.collect_set(T.lexemes("p_name"))).alias("words"))
-    return found.where(T.matches_all(F.col("words"), T.lexemes(F.lit("Small WIDGET")))).select("level", "community")
+    """Communities of one level whose titles have all words of a query."""
+    named = part_communities(spark, sf_dir).where("level = 1").join(load(spark, sf_dir, "part").selectExpr("p_partkey node", "p_name"), "node")
+    words = named.select("level", "community", F.explode(T.lexemes("p_name")).alias("lexeme")).distinct()
+    return fulltext.match(words, "community", "Small WIDGET", ["level"])
 
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.operators import fulltext
 from docquarry.operators.entities import contained_pairs, duplicate_groups, gram_pairs
 from docquarry.plans.registry import query
+from docquarry.plans.shared import document_index
 from docquarry.sources import load
 
 _FOLD = f"lower(translate(text, '{T.ACCENTED}', '{T.PLAIN}'))"
@@ -21,18 +23,29 @@ def _names(spark, sf_dir):
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {_LEX} AS lex FROM documents) WHERE list_has_all(lex, ['the', 'and', 'tion'])")
 def fts_match(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").select("doc_id", T.lexemes("text").alias("lex"))
-    return rows.where(T.matches_all("lex", T.lexemes(F.lit("The and TION")))).select("doc_id")
+    return fulltext.match(document_index(spark, sf_dir), "doc_id", "The and TION")
 
 
-@query(f"""SELECT doc_id, round(hits / (1.0 + ln(n)), 6) AS rank FROM (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'and'))) AS hits, len(w) AS n
-FROM (SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents)) WHERE hits > 0 ORDER BY rank DESC, doc_id LIMIT 20""")
+_PLACES = f"""places AS (SELECT doc_id, w, least(spot, 16383) AS spot FROM (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS spot
+FROM (SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[^a-z0-9]+'), lambda w: w <> '') AS words FROM documents)) WHERE w IN ('the', 'and', 'tion')),
+kept AS (SELECT DISTINCT doc_id, w, spot FROM places QUALIFY dense_rank() OVER (PARTITION BY doc_id, w ORDER BY spot) <= 255)"""
+
+
+@query(f"""WITH {_PLACES}, whole AS (SELECT doc_id FROM kept WHERE w IN ('the', 'and') GROUP BY doc_id HAVING count(DISTINCT w) = 2),
+near AS (SELECT a.doc_id, sum(CASE WHEN abs(a.spot - b.spot) BETWEEN 1 AND 100 THEN ln(1 - sqrt(0.1 * 0.1 / (1.005 + 0.05 * exp(abs(a.spot - b.spot) / 1.5 - 2)))) ELSE 0 END) AS l
+FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.w = 'the' AND b.w = 'and' GROUP BY 1)
+SELECT doc_id, round(CASE WHEN exp(l) < 1 THEN 1 - exp(l) ELSE 1e-20 END, 6) AS rank FROM near JOIN whole USING (doc_id) ORDER BY rank DESC, doc_id LIMIT 20""")
 def fts_rank(spark, sf_dir):
-    """Documents by how often they have the query's words, damped by their length."""
-    words = F.filter(F.split(T.folded("text"), "[^a-z0-9]+"), lambda w: w != "")
-    rows = load(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    rows = rows.select("doc_id", F.size(F.filter("w", lambda x: x.isin("the", "and"))).alias("hits"), F.size("w").alias("n")).where("hits > 0")
-    return rows.selectExpr("doc_id", "round(hits / (1D + ln(n)), 6) rank").orderBy(F.desc("rank"), "doc_id").limit(20)
+    """Documents with both words of a query by how close these stand."""
+    found = fulltext.rank(document_index(spark, sf_dir), "doc_id", "the AND")
+    return found.orderBy(F.desc("rank"), "doc_id").limit(20)
+
+
+@query(f"""WITH {_PLACES}, n AS (SELECT doc_id, least(count(*), 255) AS n FROM kept WHERE w = 'tion' GROUP BY 1)
+SELECT doc_id, round((SELECT sum(0.1 / (i * i)) FROM range(1, 256) t(i) WHERE i <= n.n) / 1.64493406685, 6) AS rank FROM n""")
+def fts_rank_word(spark, sf_dir):
+    """Documents by how often one word stands in them."""
+    return fulltext.rank(document_index(spark, sf_dir), "doc_id", "Tion")
 
 
 @query(f"SELECT doc_id, CAST((length(t) - length(replace(t, 'tion', ''))) / 4 AS INTEGER) AS n FROM (SELECT doc_id, {_FOLD} AS t FROM documents) WHERE contains(t, 'tion')")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions.vectors import l2_normalized
-from docquarry.operators import graph
+from docquarry.operators import similarity
 from docquarry.operators.entities import merge_map, remapped_edges
-from docquarry.operators.vector import AdaptiveK, adaptive_k, neighbours, top_k
+from docquarry.operators.matching import greedy_pairs
+from docquarry.operators.vector import AdaptiveK, adaptive_k, neighbours, retrieve, top_k
 from docquarry.plans.registry import query
 from docquarry.sources import load
 
@@ -91,59 +92,86 @@ def merge_poststate(spark, sf_dir):
     return remapped_edges(edges, merge_map(neighbours(rows, 3, 0.3)))
 
 
-def _top20(spark, sf_dir):
-    from docquarry.operators.vector import top_k
-
-    rows = load(spark, sf_dir, "embeddings")
-    out = None
-    for vec_id in (0, 1, 2):
-        own = top_k(rows.where(F.col("vec_id") != vec_id), _vector(spark, sf_dir, vec_id), 20).withColumn("query_id", F.lit(vec_id))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-_ADAPTIVE = f"""WITH ranked AS (SELECT query_id, vec_id, score FROM (
-  SELECT CAST(a.vec_id AS INTEGER) AS query_id, b.vec_id AS vec_id, {_COS} AS score,
+def _adaptive(queries: str, fetch: int, max_k: int, method: str = "otsu", score: str = _COS, where: str = "true") -> str:
+    """SQL of the adaptive cut-off for several queries (score, cut and bounds of a list by its query_id)."""
+    if method == "otsu":
+        bound = """SELECT query_id, (score + next) / 2 AS bound FROM v WHERE i < n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY between_ DESC, i) = 1"""
+    else:
+        bound = "SELECT query_id, round(avg(score), 9) AS bound FROM ranked GROUP BY 1"
+    return f"""WITH ranked AS (SELECT query_id, vec_id, score FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {score} AS score,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r
-  FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 1, 2) AND a.vec_id <> b.vec_id) WHERE r <= 20),
+  FROM embeddings a, embeddings b WHERE {queries} AND a.vec_id <> b.vec_id AND {where}) WHERE r <= {fetch}),
 s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
   row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id DESC) AS i,
   sum(score) OVER (PARTITION BY query_id ORDER BY score, vec_id DESC ROWS UNBOUNDED PRECEDING) AS below,
   lead(score) OVER (PARTITION BY query_id ORDER BY score, vec_id DESC) AS next,
-  sum(score) OVER (PARTITION BY query_id) AS total, count(*) OVER (PARTITION BY query_id) AS n,
+  sum(score) OVER (PARTITION BY query_id) AS total, count(*) OVER (PARTITION BY query_id) AS n, min(score) OVER (PARTITION BY query_id) AS least_,
   round(max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id), 9) AS spread FROM ranked),
-v AS (SELECT *, CASE WHEN i < n THEN round(i * (n - i) * pow(below / i - (total - below) / (n - i), 2), 12) END AS between_ FROM s),
-c AS (SELECT query_id, round((score + next) / 2, 4) AS cut FROM v WHERE i < n
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY between_ DESC, i) = 1)
+v AS (SELECT *, CASE WHEN i < n THEN round(i * (n - i) * pow(below / i - (total - below) / (n - i), 2), 12) END AS between_ FROM s), c AS ({bound})
 SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank,
-  CASE WHEN n >= 3 AND spread >= 0.05 THEN cut END AS threshold,
-  CASE WHEN n < 3 THEN 'passthrough' WHEN spread < 0.05 THEN 'unimodal_fallback' ELSE 'otsu' END AS method
-FROM v JOIN c USING (query_id)
-WHERE CASE WHEN n < 3 THEN rank <= 20 WHEN spread < 0.05 THEN rank <= 1 ELSE rank <= 20 AND (score >= cut OR rank <= 1) END"""
+  round(CASE WHEN n < 3 THEN 0 WHEN spread < 0.05 THEN least_ ELSE bound END, 4) AS threshold,
+  CASE WHEN n < 3 THEN 'passthrough' WHEN spread < 0.05 THEN 'unimodal_fallback' ELSE '{method}' END AS method
+FROM v LEFT JOIN c USING (query_id)
+WHERE CASE WHEN n < 3 THEN rank <= {max_k} WHEN spread < 0.05 THEN rank <= 1 ELSE rank <= {max_k} AND (score >= bound OR rank <= 1) END"""
 
 
-@query(_ADAPTIVE)
+@query(_adaptive("a.vec_id IN (0, 1, 2)", 20, 20))
 def adaptive_k_otsu(spark, sf_dir):
-    return adaptive_k(_top20(spark, sf_dir), "query_id", "vec_id", AdaptiveK())
+    rows = load(spark, sf_dir, "embeddings")
+    found = similarity.nearest(rows, 20, queries=rows.where("vec_id in (0, 1, 2)"), group=None)
+    found = found.selectExpr("id1 query_id", "id2 vec_id", "sim score")
+    return adaptive_k(found, "query_id", "vec_id", AdaptiveK(max_k=20))
+
+
+@query(_adaptive("a.vec_id % 20 = 0", 20, 10, "gmm"))
+def adaptive_k_gmm(spark, sf_dir):
+    """The cut by a mixture of two normal distributions, for all queries at once."""
+    rows = load(spark, sf_dir, "embeddings")
+    found = similarity.nearest(rows, 20, queries=rows.where("vec_id % 20 = 0"), group=None)
+    return adaptive_k(found.selectExpr("id1 query_id", "id2 vec_id", "sim score"), "query_id", "vec_id", AdaptiveK(method="gmm"))
+
+
+_PAGES = "concat('doc', label) document_id", "vec_id page_id", "cast(1 + vec_id % 97 as int) page_number", "embedding"
+
+
+def _retrieved(fetch: int, max_k: int, where: str = "true") -> str:
+    found = _adaptive("a.vec_id % 10 = 0", fetch, max_k, score=f"greatest(0, least(1, {_COS}))", where=where)
+    return f"""SELECT query_id, vec_id AS page_id, 'doc' || label AS document_id, CAST(1 + vec_id % 97 AS INTEGER) AS page_number, score, rank, threshold, method
+FROM ({found}) JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)"""
+
+
+@query(_retrieved(20, 8))
+def retrieved_pages(spark, sf_dir):
+    """Pages for each of a table of queries: fetch, clamp, adaptive cut."""
+    rows = load(spark, sf_dir, "embeddings").selectExpr(*_PAGES)
+    return retrieve(rows, rows.where("page_id % 10 = 0"), 8)
+
+
+@query(_retrieved(24, 10, "b.label % 2 = 1"))
+def retrieved_pages_of_category(spark, sf_dir):
+    """The same within the documents of one category."""
+    rows = load(spark, sf_dir, "embeddings").selectExpr(*_PAGES, "label")
+    categories = rows.selectExpr("document_id", "if(label % 2 = 1, 'odd', 'even') category").distinct()
+    return retrieve(rows.drop("label"), rows.where("page_id % 10 = 0"), 24, AdaptiveK(), category="odd", categories=categories)
 
 
 @query(f"""WITH pairs AS (SELECT a.label AS label, {_COS} AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
 SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(sim), 4) AS mean_sim, max(sim) AS max_sim FROM pairs GROUP BY label""")
 def similarity_bands(spark, sf_dir):
-    pairs = neighbours(load(spark, sf_dir, "embeddings"), 1_000_000_000, -2.0)
-    labels = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id1"), "label")
-    return pairs.join(labels, "id1").groupBy("label").agg(
-        F.count("*").alias("n"), F.round(F.avg("sim"), 4).alias("mean_sim"), F.max("sim").alias("max_sim")
-    )
+    found = similarity.bands(load(spark, sf_dir, "embeddings"))
+    return found.selectExpr("label", "n", "round(total / n, 4) mean_sim", "top max_sim")
+
+
+_GREEDY = f"""WITH p AS (SELECT a.vec_id AS l, b.vec_id AS r, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.label = 1 AND b.label = 2),
+walk AS (SELECT list_reduce(list([{{'l': l, 'r': r, 's': s}}] ORDER BY s DESC, l, r),
+  lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.l = x[1].l OR y.r = x[1].r)) = 0 THEN list_concat(acc, x) ELSE acc END) AS taken FROM p WHERE s >= 0.1)
+SELECT t.l AS "left", t.r AS "right", t.s AS score FROM (SELECT unnest(taken) AS t FROM walk)"""
 
 
-@query()
+@query(_GREEDY)
 def greedy_match(spark, sf_dir):
     """Labels 1 and 2 matched one to one by falling similarity."""
-    from docquarry.functions.vectors import cosine
-
-    rows = load(spark, sf_dir, "embeddings").where("vec_id < 300")
-    a = rows.where("label = 1").select(F.col("vec_id").alias("left"), F.col("embedding").alias("v"), F.lit(1).alias("k"))
-    b = rows.where("label = 2").select(F.col("vec_id").alias("right"), F.col("embedding").alias("w"), F.lit(1).alias("k"))
-    pairs = a.join(b, "k").select("left", "right", F.round(cosine("v", "w"), 6).alias("score")).where("score >= 0.1")
-    return graph.greedy_matches(pairs)
+    rows = load(spark, sf_dir, "embeddings")
+    pairs = similarity.pairs_above(rows.where("label = 1"), 0.1, rows.where("label = 2"), group=None)
+    return greedy_pairs(pairs.selectExpr("id1 left", "id2 right", "sim score"))

@@ -44,6 +44,7 @@ def cut_at(spark, scores, **config):
 
 
 def test_adaptive_cut(spark):
+    # fixed values: lists of scores and how many of them stay
     assert cut_at(spark, [0.85, 0.82, 0.78, 0.30, 0.25, 0.20], max_k=10) == (3, {"otsu"})
     assert cut_at(spark, [0.95, 0.90, 0.88, 0.10, 0.08, 0.05], max_k=10) == (3, {"otsu"})
     assert cut_at(spark, [0.90, 0.89, 0.88, 0.87, 0.86], min_k=2) == (2, {"unimodal_fallback"})
@@ -83,19 +84,6 @@ def test_communities_of_two_cliques(spark):
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3, 4], [10, 11, 12, 13, 14]]
 
 
-def test_greedy_matches(spark):
-    rng = random.Random(2)
-    pairs = [(a, b, round(rng.random(), 2)) for a in range(6) for b in range(6) if rng.random() < 0.5]
-    lefts, rights, want = set(), set(), []
-    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
-        if a not in lefts and b not in rights:
-            want.append((a, b, s))
-            lefts.add(a)
-            rights.add(b)
-    got = graph.greedy_matches(spark.createDataFrame(pairs, "left long, right long, score double")).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
-
-
 def test_streaks(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate("fffsff")], "k long, i long, r string")
     got = [r.run for r in state.streaks(rows, "k", ["i"], "r = 'f'").orderBy("i").collect()]
