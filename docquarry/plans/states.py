@@ -60,3 +60,38 @@ def budget_zones(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select("user_id", "event_id", (F.sum("value").over(w) / 10000).alias("r"))
     zone = F.expr("case when r >= 0.95 then 'critical' when r >= 0.85 then 'compact' when r >= 0.7 then 'prune' else 'ok' end")
     return rows.select("user_id", "event_id", F.round("r", 6).alias("ratio"), zone.alias("zone"))
+
+
+_REQUESTS = """requests AS (SELECT 'c' || user_id % 40 AS client, event_id, ts, CASE event_type WHEN 'click' THEN '/auth/login' WHEN 'view' THEN '/chat/stream/' || event_id
+WHEN 'error' THEN '/citations' WHEN 'purchase' THEN '/documents' ELSE '/health' END AS path FROM events),
+routed AS (SELECT *, CASE WHEN starts_with(path, '/auth/login') THEN '/auth/login' WHEN starts_with(path, '/chat/stream') THEN '/chat/stream' WHEN starts_with(path, '/citations') THEN '/citations' ELSE 'default' END AS route FROM requests WHERE path <> '/health')"""
+
+
+@query(f"""WITH RECURSIVE {_REQUESTS}, e AS (SELECT client, route, event_id, epoch_us(ts) AS us, CASE route WHEN '/auth/login' THEN 10 WHEN '/chat/stream' THEN 30 WHEN '/citations' THEN 300 ELSE 60 END / 60.0 / 3600 AS rate,
+row_number() OVER (PARTITION BY client, route ORDER BY ts, event_id) AS n FROM routed),
+f(client, route, event_id, n, us, before) AS (SELECT client, route, event_id, n, us, CAST(2 AS DOUBLE) FROM e WHERE n = 1 UNION ALL
+SELECT e.client, e.route, e.event_id, e.n, e.us, least(2.0, (CASE WHEN f.before >= 1 THEN f.before - 1 ELSE f.before END) + (e.us - f.us) / 1e6 * e.rate) FROM f JOIN e ON e.client = f.client AND e.route = f.route AND e.n = f.n + 1)
+SELECT client, route, event_id, before >= 1 AS allowed FROM f""")
+def route_limits(spark, sf_dir):
+    """Requests that the buckets of their clients and routes allow; hours stand for seconds, as events are far apart."""
+    rows = load(spark, sf_dir, "events").selectExpr(
+        "concat('c', user_id % 40) client", "event_id", "timestamp_micros(cast(unix_micros(cast(ts as timestamp)) / 3600 as bigint)) ts",
+        "case event_type when 'click' then '/auth/login' when 'view' then concat('/chat/stream/', event_id) when 'error' then '/citations' when 'purchase' then '/documents' else '/health' end path",
+    )
+    return state.limited_by_route(rows, state.Limits(burst=2.0)).drop("retry_after")
+
+
+@query("""WITH typed AS (SELECT event_id // 10 AS stream_id, (event_id * 7) % 10 AS seq, CASE event_type WHEN 'click' THEN 'text_delta' WHEN 'view' THEN 'tool_call' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'cost_summary' ELSE 'thinking_delta' END AS kind, props AS content, value AS cost FROM events WHERE event_id % 13 <> 5),
+ends AS (SELECT stream_id, min(seq) AS last FROM typed WHERE kind IN ('done', 'error') GROUP BY 1), r AS (SELECT typed.*, last FROM typed LEFT JOIN ends USING (stream_id) WHERE last IS NULL OR seq <= last)
+SELECT stream_id, CASE WHEN min(last) IS NULL THEN 'timeout' ELSE max_by(kind, seq) END AS status, coalesce(string_agg(content, '' ORDER BY seq) FILTER (WHERE kind = 'text_delta'), '') AS answer,
+coalesce(string_agg(content, '' ORDER BY seq) FILTER (WHERE kind = 'thinking_delta'), '') AS thinking, CAST(count(*) FILTER (WHERE kind = 'tool_call') AS INTEGER) AS n_tools,
+max_by(cost, seq) FILTER (WHERE kind = 'cost_summary') AS cost, CAST(count(*) AS BIGINT) AS n_events, CAST(max(seq) + 1 - count(*) AS BIGINT) AS missing FROM r GROUP BY 1""")
+def folded_event_streams(spark, sf_dir):
+    """Streams of typed events, some with gaps, each as one row."""
+    rows = load(spark, sf_dir, "events").where("event_id % 13 <> 5").selectExpr(
+        "event_id div 10 stream_id", "event_id * 7 % 10 seq",
+        "case event_type when 'click' then 'text_delta' when 'view' then 'tool_call' when 'purchase' then 'done' when 'error' then 'cost_summary' else 'thinking_delta' end kind",
+        "props content", "value cost", "ts",
+    )
+    twice = rows.unionByName(rows.where("seq % 3 = 0"))  # repeats change nothing
+    return state.folded(twice).withColumn("n_tools", F.size("tools")).drop("tools")
