@@ -9,6 +9,9 @@ from docquarry.functions import text as T
 from docquarry.lineage import cut
 from docquarry.operators.components import connected_components
 
+#: A share of a whole number may come out this much too large in floating point.
+SLACK = 1e-9
+
 
 def duplicate_groups(rows: DataFrame, key: Column, prefer: list[Column]) -> DataFrame:
     """(name_key, entity_type, canonical_id, canonical_name, n, entity_ids) of keys with two rows or more.
@@ -40,7 +43,7 @@ def gram_pairs(rows: DataFrame, grams: Column, least: float, within: list[str] |
     rare = each.groupBy("gram").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "gram")
     prefix = each.join(rare, "gram").withColumn("r", F.row_number().over(order))
-    prefix = prefix.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    prefix = prefix.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - SLACK) + 1)
     left = prefix.select(F.col("id").alias("id1"), *within, "gram", F.col("n").alias("n1"))
     right = prefix.select(F.col("id").alias("id2"), *within, "gram", F.col("n").alias("n2"))
     met = left.join(right, ["gram", *within]).where("id1 < id2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut
+from docquarry.lineage import cut, stored
 from docquarry.operators.components import connected_components
 
 
@@ -138,11 +138,11 @@ def listed(members: DataFrame, least: int) -> DataFrame:
 def chain_ends(links: DataFrame) -> DataFrame:
     """(node, final): where the walk along links (a, b), of which each a has one, ends; walks that run into a
     cycle end at its smallest node. Each round doubles the steps taken."""
-    links = cut(links.selectExpr("a node", "b at", "b low"))
+    links = stored(links.selectExpr("a node", "b at", "b low"))
     walks = links
     for _ in range(links.count().bit_length() + 1):
         ahead = walks.selectExpr("node at", "at then", "low lower")
-        walks = cut(walks.join(ahead, "at", "left").selectExpr("node", "coalesce(then, at) at", "least(low, lower) low"))
+        walks = stored(walks.join(ahead, "at", "left").selectExpr("node", "coalesce(then, at) at", "least(low, lower) low"))
         if not walks.join(links.selectExpr("node at"), "at", "left_semi").limit(1).count():
             return walks.selectExpr("node", "at final")
     round_ = walks.selectExpr("node at", "low")
