@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.functions.markup import page_text
 from docquarry.operators import fulltext
 from docquarry.operators.entities import contained_pairs, duplicate_groups, gram_pairs
+from docquarry.operators.find import found_on_pages
 from docquarry.plans.registry import query
 from docquarry.plans.shared import document_index
+from docquarry.session import ship_package
 from docquarry.sources import load
 
 _FOLD = f"lower(translate(text, '{T.ACCENTED}', '{T.PLAIN}'))"
@@ -118,6 +121,24 @@ def html_text(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("body"))
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g') AS h FROM pages),
+s AS (SELECT page_id, list_transform(string_split_regex(h, '<[^>]+>'), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '^\s+|\s+$', '', 'g')) AS l FROM p)
+SELECT page_id, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS body FROM s""")
+def page_strings(spark, sf_dir):
+    """The strings of pages, a line each, by a tokenising parser."""
+    ship_package(spark)
+    return load(spark, sf_dir, "pages").select("page_id", page_text("html").alias("body"))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS page_number FROM documents),
+n AS (SELECT doc_id, page_number, lower(strip_accents(t)) AS t FROM p), c AS (SELECT *, (length(t) - length(replace(t, 'tion', ''))) // 4 AS n FROM n)
+SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, CAST(unnest(range(0, n)) AS INTEGER) AS match_index FROM c WHERE n > 0""")
+def page_find_places(spark, sf_dir):
+    """Every place of a phrase by page, whatever the accents; lines stand for pages."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    return found_on_pages(docs.selectExpr("doc_id", "at + 1 page_number", "text"), "TIÓN", ["doc_id", "page_number"])
+
+
 @query("""SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 40 AND 60""")
 def json_props(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import io
+import zipfile
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.markup import html_strings
+from docquarry.session import ship_package
+
 # Encodings in the order in which they are tried; the last takes any bytes.
-ENCODINGS = ("utf-8-sig", "utf-8", "cp1250", "iso8859-2", "latin-1")
-# Endings of the documents that can be read as text.
-ENDINGS = ("txt", "md", "html", "htm", "tex")
+ENCODINGS = ("utf-8-sig", "utf-8", "windows-1250", "iso-8859-2", "latin-1")
+# Endings of the documents that are read.
+ENDINGS = ("pdf", "docx", "txt", "md", "html", "htm", "tex", "latex")
+# Fixed value: the namespace of the paragraphs of a word processor's file.
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def json_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -43,20 +52,50 @@ def decoded(data: bytes | None) -> str | None:
     return None
 
 
+def docx_text(data: bytes) -> str:
+    """The paragraphs of a word processor's file, a line each, those of tables and empty ones left out."""
+    with zipfile.ZipFile(io.BytesIO(data)) as parts:
+        body = ElementTree.fromstring(parts.read("word/document.xml")).find(f"{_WORD}body")
+    signs = {f"{_WORD}tab": "\t", f"{_WORD}br": "\n", f"{_WORD}cr": "\n"}
+    out = []
+    for paragraph in body.findall(f"{_WORD}p"):
+        said = "".join(e.text or "" if e.tag == f"{_WORD}t" else signs.get(e.tag, "") for run in paragraph.iter(f"{_WORD}r") for e in run)
+        if said:
+            out.append(said)
+    return "\n".join(out)
+
+
+def extracted(data: bytes, ending: str) -> str:
+    """The text of a document by its ending; a sentence in brackets where a file of a binary format can't be read."""
+    if ending in ("html", "htm"):
+        return html_strings(decoded(data))
+    if ending == "docx":
+        try:
+            return docx_text(data)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
+            return f"[Error: Could not extract text from .{ending} file: {e}]"
+    if ending == "pdf":
+        return f"[Error: Could not extract text from .{ending} file: no reader for this format]"
+    return decoded(data)
+
+
 def documents(spark: SparkSession, folder: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
-    """(path, ending, n_bytes, text) of the files of a folder, and below, that have one of the endings.
+    """(path, ending, n_bytes, text) of the files of a folder, and below, that have one of the endings, in small or capital letters.
 
-    Bytes are read by Spark, whatever the store, and decoded in batches; a file is held whole by its task.
+    Bytes are read by Spark, whatever the store, and turned into text in Arrow batches of few files; a file is held whole by
+    its task, so one of more than 2 GB fails. There is no reader for pdf: such files are listed and their
+    text says so.
     """
-    names = "{" + ",".join(endings) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{names}").option("recursiveFileLookup", True).load(folder)
+    ship_package(spark)
+    either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(either) + "}").option("recursiveFileLookup", True).load(folder)
 
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
-        return column.map(decoded)
+    @F.arrow_udf("string")
+    def text(contents: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([extracted(c, n) for c, n in zip(contents.to_pylist(), names.to_pylist())], pa.string())
 
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.select("path", ending.alias("ending"), F.col("length").alias("n_bytes"), text("content").alias("text"))
+    return files.select("path", ending.alias("ending"), F.col("length").alias("n_bytes"), text("content", ending).alias("text"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:
