@@ -19,6 +19,8 @@ PROVIDERS = (
 )
 # Those of embedding models, tried after the others.
 EMBEDDERS = (("text-embedding", "openai"), ("voyage", "voyage"))
+# Owners of embedding models, in this very form, tried last.
+EMBEDDER_OWNERS = (("BAAI/", "huggingface"), ("intfloat/", "huggingface"), ("sentence-transformers/", "huggingface"))
 # The fallback rate, and the bounds within which a rate is taken.
 RATE, LEAST_RATE, MOST_RATE = 23.5, 15.0, 40.0
 
@@ -30,6 +32,8 @@ def _column(x) -> Column:
 def provider(model, embeds: bool = False) -> Column:
     """The provider of a model by parts of its name, the first that fits; `unknown` otherwise."""
     name, out = F.lower(_column(model)), F.lit("unknown")
+    for part, owner in reversed(EMBEDDER_OWNERS * embeds):
+        out = F.when(F.contains(_column(model), F.lit(part)), F.lit(owner)).otherwise(out)
     for part, owner in reversed(PROVIDERS + EMBEDDERS * embeds):
         out = F.when(F.contains(name, F.lit(part)), F.lit(owner)).otherwise(out)
     return out

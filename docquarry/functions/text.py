@@ -154,7 +154,7 @@ def page_id(document, page) -> Column:
 def page_parts(column) -> tuple[Column, Column]:
     """Document and page number of a page id; null where it has another form."""
     document = F.nullif(F.regexp_extract(column, r"^(.*)_p(\d+)$", 1), F.lit(""))
-    return document, F.nullif(F.regexp_extract(column, r"^(.*)_p(\d+)$", 2), F.lit("")).cast("int")
+    return document, F.nullif(F.regexp_extract(column, r"^(.*)_p(\d+)$", 2), F.lit("")).try_cast("int")
 
 
 def display_name(document) -> Column:
@@ -202,8 +202,8 @@ def main_question(text) -> Column:
 
 
 def numbered_marks(text) -> Column:
-    """All numbers between bars."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\|(\d+)\|"), 1), lambda x: x.cast("int"))
+    """All numbers between bars, those too large for a long left out."""
+    return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(r"\|(\d+)\|"), 1), lambda x: x.try_cast("long")))
 
 
 # Passwords that are refused.
@@ -302,7 +302,7 @@ def community_title(title, summary, most: int = 100) -> Column:
 
 def legal_id(text) -> tuple[Column, Column]:
     """Number and year of the first `number/year`, or nulls."""
-    parts = [F.nullif(F.regexp_extract(text, r"(\d+)/(\d{4})", i), F.lit("")).cast("int") for i in (1, 2)]
+    parts = [F.nullif(F.regexp_extract(text, r"(\d+)/(\d{4})", i), F.lit("")).try_cast("int") for i in (1, 2)]
     return parts[0], parts[1]
 
 

@@ -90,13 +90,18 @@ def remapped_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def upserted(base: DataFrame, new: DataFrame, key: list[str], replace: list[str], fill: list[str] = (), union: list[str] = ()) -> DataFrame:
+def _without(entries: Column, others: Column) -> Column:
+    """The entries of a map whose keys another doesn't have."""
+    return F.map_filter(entries, lambda k, _: ~F.map_contains_key(others, k))
+
+
+def upserted(base: DataFrame, new: DataFrame, key: list[str], replace: list[str], fill: list[str] = (), union: list[str] = (), patch: list[str] = ()) -> DataFrame:
     """The state of base after new rows came: `replace` columns take the new value, `fill` columns
-    the new value unless it is null, `union` columns the union of both arrays. Keys are unique on
-    either side."""
-    a, b = base.alias("a"), new.alias("b")
+    the new value unless it is null, `union` columns the union of both arrays, `patch` columns, which are
+    maps, the old entries with the new ones laid over them. Keys are unique on either side; null ones equal each other."""
+    a, b = base.alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
     joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "full_outer")
-    here = F.col(f"b.{key[0]}").isNotNull()
+    here = F.col("b._new").isNotNull()
     columns = [F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in key]
     columns += [F.when(here, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in replace]
     columns += [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) for c in fill]
@@ -105,6 +110,10 @@ def upserted(base: DataFrame, new: DataFrame, key: list[str], replace: list[str]
                                    F.coalesce(F.col(f"b.{c}"), F.array().cast(base.schema[c].dataType)))).alias(c)
         for c in union
     ]
+    for c in patch:
+        none = F.create_map().cast(base.schema[c].dataType)
+        old, late = F.coalesce(F.col(f"a.{c}"), none), F.coalesce(F.col(f"b.{c}"), none)
+        columns.append(F.map_concat(_without(old, late), late).alias(c))
     return joined.select(*columns)
 
 

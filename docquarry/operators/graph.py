@@ -27,10 +27,14 @@ def distances(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+#: Hops that a neighbourhood takes at most.
+DEEPEST = 5
+
+
 def neighbourhood(edges: DataFrame, root: int, depth: int) -> DataFrame:
     """edges (relationship_id, source, target, ...) within `depth` hops of root, with hop; a depth
-    under 1 counts as 1. A self-loop belongs only if it is on the root."""
-    depth = max(depth, 1)
+    under 1 counts as 1 and one over DEEPEST as that. A self-loop belongs only if it is on the root."""
+    depth = min(max(depth, 1), DEEPEST)
     roots = edges.sparkSession.createDataFrame([(root,)], "node long")
     near = distances(edges, roots, depth)
     source = near.select(F.col("node").alias("source"), F.col("distance").alias("d1"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.functions.costs import call_cost
 from docquarry.functions.vectors import cosine
 from docquarry.operators import fulltext, graph
 from docquarry.operators.evaluation import ratio
@@ -23,16 +24,20 @@ def joined_descriptions(spark, sf_dir):
     return whole.select("name", F.left(F.array_join("l.d", " | "), F.lit(2000)).alias("description"))
 
 
-@query("""SELECT regexp_replace(agent, '^agent_', '') AS agent, CAST(count(*) AS BIGINT) AS calls, CAST(sum(i) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out,
-round(sum(i * 3.0 + o * 15.0) / 1e6, 6) AS cost FROM (SELECT CASE WHEN event_type = 'view' THEN 'tool_view' ELSE 'agent_' || event_type END AS agent, CAST(floor(value) AS BIGINT) AS i, user_id AS o FROM events)
-WHERE starts_with(agent, 'agent_') GROUP BY 1""")
+_CALLS = "CASE WHEN event_type = 'view' THEN 'tool_view' ELSE 'agent_' || event_type END AS agent, CAST(floor(value) AS BIGINT) AS i, user_id AS o, event_id % 100 AS r, event_id % 7 AS w, event_id % 1000 AS ms"
+
+
+@query(f"""SELECT regexp_replace(agent, '^agent_', '') AS agent, CAST(count(*) AS BIGINT) AS calls, CAST(sum(i) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, CAST(sum(r) AS BIGINT) AS cache_read, CAST(sum(w) AS BIGINT) AS cache_creation,
+CAST(sum(ms) AS BIGINT) AS response_ms, round(sum(i * 3.0 + o * 15.0 + r * 3.0 * 0.1 + w * 3.0 * 1.25) / 1e6, 6) AS cost FROM (SELECT {_CALLS} FROM events) WHERE starts_with(agent, 'agent_') GROUP BY 1 ORDER BY cost DESC""")
 def agent_breakdown(spark, sf_dir):
-    """Sums by agent: operations with the prefix of agents, named without it."""
-    rows = load(spark, sf_dir, "events").selectExpr("if(event_type = 'view', 'tool_view', concat('agent_', event_type)) agent", "cast(floor(value) as bigint) i", "user_id o")
+    """All sums by agent, the most expensive first: operations with the prefix of agents, named without it."""
+    rows = load(spark, sf_dir, "events").selectExpr(*_CALLS.replace("END AS", "END").replace(" AS agent", " agent").split(", "))
     rows = rows.where(F.startswith("agent", F.lit("agent_"))).groupBy(F.regexp_replace("agent", "^agent_", "").alias("agent"))
+    cost = call_cost("i", "o", "r", "w", 3.0, 15.0)
     return rows.agg(
-        F.count("*").alias("calls"), F.sum("i").alias("tokens_in"), F.sum("o").alias("tokens_out"), F.expr("round(sum(i * 3D + o * 15D) / 1e6D, 6) cost")
-    )
+        F.count("*").alias("calls"), F.sum("i").alias("tokens_in"), F.sum("o").alias("tokens_out"), F.sum("r").alias("cache_read"), F.sum("w").alias("cache_creation"),
+        F.sum("ms").alias("response_ms"), F.round(F.sum(cost), 6).alias("cost"),
+    ).orderBy(F.desc("cost"))
 
 
 @query("""WITH expected AS (SELECT p_name AS name FROM part GROUP BY p_name HAVING count(DISTINCT p_type) > 1), merged AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 45)

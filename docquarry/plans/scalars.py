@@ -17,31 +17,48 @@ def fenced_answers(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.without_fences(answer).alias("plain"))
 
 
-@query("""SELECT doc_id, doc_id % 5 IN (0, 1, 3) AS same FROM documents""")
+#: Answers and such made of the columns of documents; both engines read these expressions.
+_H = "md5(coalesce(text, ''))"
+_SAID = f"CASE n_chars % 5 WHEN 0 THEN ' yes' WHEN 1 THEN 'YES ' WHEN 2 THEN 'no' WHEN 3 THEN substr({_H}, 1, 3) ELSE '' END"
+_VERDICTS = f"""CASE doc_id % 4 WHEN 0 THEN '{{"verdict": "' || {_SAID} || '", "why": "' || source || '"}}' WHEN 1 THEN '```json ' || '{{"verdict": "' || {_SAID} || '"}} ```'
+WHEN 2 THEN '{{"verdict": "' || {_SAID} || '", broken' ELSE {_SAID} || ', they are ' || source END"""
+
+
+@query(f"""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(trim({_VERDICTS}), '^```[a-z]*\\s*', ''), '\\s*```$', '')) AS t FROM documents)
+SELECT doc_id, CASE WHEN starts_with(ltrim(t), '{{') AND json_valid(t) THEN upper(trim(json_extract_string(t, '$.verdict'))) = 'YES'
+WHEN regexp_matches(t, '(?i)"verdict"\\s*:\\s*"(YES|NO)"') THEN upper(regexp_extract(t, '(?i)"verdict"\\s*:\\s*"(YES|NO)"', 1)) = 'YES' ELSE starts_with(upper(ltrim(t)), 'YES') END AS same FROM a""")
 def merge_verdicts(spark, sf_dir):
     """Answers as JSON, as JSON in a fence, as broken JSON and as plain text."""
-    answer = F.expr(
-        """case doc_id % 5 when 0 then '{"verdict": "yes"}' when 1 then '```json\\n{"verdict": "YES"}\\n```'
-        when 2 then '{"verdict": "NO"}' when 3 then 'Yes, they are' else 'I think not' end"""
-    )
-    return load(spark, sf_dir, "documents").select("doc_id", T.verdict(answer).alias("same"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.verdict(F.expr(_VERDICTS)).alias("same"))
+
+
+_SECRET = f"""CASE doc_id % 6 WHEN 0 THEN 'sk-ant-' || {_H} || substr({_H}, 1, CAST(doc_id % 9 AS INT)) WHEN 1 THEN 'key sk-' || {_H} || substr('!a', 1, CAST(doc_id % 3 AS INT)) || ' end' WHEN 2 THEN 'PA-' || {_H} || '_x'
+WHEN 3 THEN 'api_key=' || substr({_H}, 1, CAST(17 + doc_id % 7 AS INT)) WHEN 4 THEN 'pwd: ' || substr({_H}, 1, CAST(doc_id % 12 AS INT)) || ' Bearer ' || substr({_H}, 1, CAST(15 + doc_id % 9 AS INT)) ELSE source END || ' at ' || coalesce(lang, '-')"""
+
+
+def _masked(x: str) -> str:
+    for pattern, new in T.SECRETS:
+        x = f"regexp_replace({x}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
+    return x
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'key sk-ant-*** end' WHEN 1 THEN 'pa-***' WHEN 2 THEN 'password=***' ELSE event_type END AS clean FROM events""")
+@query(f"SELECT doc_id, {_masked(_SECRET)} AS clean FROM documents")
 def masked_errors(spark, sf_dir):
-    error = F.expr(
-        "case event_id % 4 when 0 then concat('key sk-ant-', repeat('a', 40), ' end') when 1 then concat('pa-', repeat('b1', 20))"
-        " when 2 then 'password=hunter2hunter2' else event_type end"
-    )
-    return load(spark, sf_dir, "events").select("event_id", T.sanitized(error).alias("clean"))
+    """Messages with secrets of many lengths."""
+    return load(spark, sf_dir, "documents").select("doc_id", T.sanitized(F.expr(_SECRET)).alias("clean"))
+
+
+_KEYED = f"CASE n_chars % 5 WHEN 0 THEN 'sk-ant-' WHEN 1 THEN 'sk-' WHEN 2 THEN 'pa-' WHEN 3 THEN '' ELSE source END || substr({_H} || md5(source), 1, CAST(doc_id % 60 AS INT))"
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'sk-ant-***' WHEN 1 THEN 'sk-***' WHEN 2 THEN 'pa-***' ELSE '***' END AS masked,
-CASE WHEN event_id % 4 = 0 THEN event_id % 50 > 33 ELSE false END AS valid FROM events""")
+@query(f"""WITH k AS (SELECT doc_id, {_KEYED} AS key FROM documents)
+SELECT doc_id, CASE WHEN starts_with(key, 'sk-ant-') THEN 'sk-ant-***' WHEN starts_with(key, 'sk-') THEN 'sk-***' WHEN starts_with(key, 'pa-') THEN 'pa-***' ELSE '***' END AS masked,
+starts_with(key, 'sk-ant-') AND length(key) > 40 AS valid, starts_with(key, 'pa-') AND length(key) > 30 AS valid_pa, length(key) > 20 AS long_enough FROM k""")
 def masked_keys(spark, sf_dir):
-    start = F.expr("case event_id % 4 when 0 then 'sk-ant-' when 1 then 'sk-' when 2 then 'pa-' else 'other' end")
-    rows = load(spark, sf_dir, "events").select("event_id", F.concat(start, F.expr("repeat('x', cast(event_id % 50 as int))")).alias("key"))
-    return rows.select("event_id", T.masked_key(F.col("key")).alias("masked"), T.key_is_valid(F.col("key"), "sk-ant-").alias("valid"))
+    """Keys of many lengths, with and without the prefixes of providers."""
+    key = F.expr(_KEYED)
+    valid = [T.key_is_valid(key, "sk-ant-").alias("valid"), T.key_is_valid(key, "pa-").alias("valid_pa"), T.key_is_valid(key).alias("long_enough")]
+    return load(spark, sf_dir, "documents").select("doc_id", T.masked_key(key).alias("masked"), *valid)
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(d, '^Sb_(\d{4})_(\d+)(_.*)?$') THEN regexp_replace(d, '^Sb_(\d{4})_(\d+)(_.*)?$', '\2/\1 Sb.') ELSE replace(d, '_', ' ') END AS name FROM (
@@ -69,17 +86,33 @@ def snippet_marks(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.array_join(T.numbered_marks(marked).cast("array<string>"), ",").alias("marks"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'length,upper,digit,sign,common' WHEN 1 THEN '' WHEN 2 THEN 'upper,sign,repeated' ELSE 'lower,digit,sign' END AS errors FROM events""")
+_PASSWORD = f"CASE doc_id % 5 WHEN 0 THEN substr({_H}, 1, CAST(doc_id % 14 AS INT)) WHEN 1 THEN upper(substr({_H}, 1, 6)) || '!' || substr({_H}, 7, 3) WHEN 2 THEN 'Dragon' || substr('aaa!', 1, CAST(n_chars % 5 AS INT)) WHEN 3 THEN substr('Monkey', 1, CAST(n_chars % 7 AS INT)) ELSE '$$$' || source END"
+_COMMON = ", ".join(f"'{p}'" for p in T.COMMON_PASSWORDS)
+_RULES = " || ".join(
+    f"CASE WHEN {rule} THEN ',{name}' ELSE '' END"
+    for name, rule in (
+        ("length", "length(p) < 8"), ("upper", "NOT regexp_matches(p, '[A-Z]')"), ("lower", "NOT regexp_matches(p, '[a-z]')"), ("digit", "NOT regexp_matches(p, '[0-9]')"),
+        ("sign", "NOT regexp_matches(p, '[@$!%*?&]')"), ("common", f"lower(p) IN ({_COMMON})"),
+        ("repeated", "len(list_filter(range(1, length(p) - 1), lambda i: substr(p, i, 1) = substr(p, i + 1, 1) AND substr(p, i, 1) = substr(p, i + 2, 1))) > 0"),
+    )
+)
+
+
+@query(f"SELECT doc_id, substr({_RULES}, 2) AS errors FROM (SELECT doc_id, {_PASSWORD} AS p FROM documents)")
 def password_rules(spark, sf_dir):
     """Every rule that a password breaks, in the order of the rules."""
-    password = F.expr("case event_id % 4 when 0 then 'dragon' when 1 then 'Good1word!' when 2 then 'aaabbb12' else 'QWERTASDF' end")
-    return load(spark, sf_dir, "events").select("event_id", F.array_join(T.password_errors(password), ",").alias("errors"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(T.password_errors(F.expr(_PASSWORD)), ",").alias("errors"))
 
 
-@query(r"""SELECT conv_id, turn, trim(role) AS said, round(CAST(1 AS DOUBLE) / (3 + 1), 4) AS visible FROM conversations""")
+_THOUGHT = "CASE turn % 4 WHEN 0 THEN '<think>' || coalesce(text, '') || '</think> ' || role || ' said' WHEN 1 THEN coalesce(text, '') || ' <think> cut ' || role WHEN 2 THEN coalesce(text, '') ELSE '<think>a</think>' || role || '<think>b c</think> ' || substr(coalesce(text, ''), 1, 30) END"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {_THOUGHT} AS t FROM conversations), b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', ''), '^ +| +$', '', 'g') AS said FROM a),
+n AS (SELECT *, len(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')) AS whole, len(list_filter(string_split_regex(said, '\\s+'), lambda w: w <> '')) AS seen FROM b)
+SELECT conv_id, turn, said, CASE WHEN whole > 0 THEN round(seen / whole, 4) ELSE 0 END AS visible FROM n""")
 def visible_answers(spark, sf_dir):
     """Answers without their thoughts, and the share of words that is left."""
-    answer = F.concat(F.lit("<think>one two three</think> "), F.col("role"))
+    answer = F.expr(_THOUGHT)
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_thoughts(answer).alias("said"), T.visible_ratio(answer).alias("visible"))
 
 
@@ -91,36 +124,37 @@ def embedding_texts(spark, sf_dir):
     )
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'MET' WHEN 1 THEN 'UNCLEAR' WHEN 2 THEN 'PARTIAL' ELSE 'UNCLEAR' END AS status,
-CAST(CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS confidence FROM events""")
+_ASSESSED = f"""CASE doc_id % 3 WHEN 0 THEN '{{"status": "' || {{0}} || '", "confidence": ' || CAST(n_chars % 15 AS VARCHAR(9)) || 'e-1}}' WHEN 1 THEN '```json {{"status": " ' || {{0}} || ' "}} ```' ELSE {{0}} || substr({_H}, 1, 4) END"""
+_ASSESSED = _ASSESSED.replace("{0}", "CASE n_chars % 6 WHEN 0 THEN 'met' WHEN 1 THEN 'Partial' WHEN 2 THEN 'UNMET' WHEN 3 THEN 'unclear' WHEN 4 THEN source ELSE '' END")
+
+
+@query(f"""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(trim({_ASSESSED}), '^```[a-z]*\\s*', ''), '\\s*```$', '')) AS t FROM documents), j AS (SELECT doc_id, CASE WHEN json_valid(t) THEN t END AS j FROM a),
+v AS (SELECT doc_id, upper(trim(json_extract_string(j, '$.status'))) AS s, CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS c FROM j)
+SELECT doc_id, CASE WHEN s IN ('MET', 'UNMET', 'PARTIAL', 'UNCLEAR') THEN s ELSE 'UNCLEAR' END AS status, least(1.0, greatest(0.0, coalesce(c, 0.25))) AS confidence FROM v""")
 def assessments(spark, sf_dir):
     """Answers as JSON with status and confidence; what can't be read is unclear at a quarter."""
-    answer = F.expr(
-        """case event_id % 4 when 0 then '{"status": "met", "confidence": 7}' when 1 then 'no json' when 2 then '```json\\n{"status": "PARTIAL", "confidence": 0.5}\\n```'
-        else '{"status": "MAYBE", "confidence": 0.25}' end"""
-    )
-    status, confidence = T.assessment(answer)
-    return load(spark, sf_dir, "events").select("event_id", status.alias("status"), confidence.alias("confidence"))
+    status, confidence = T.assessment(F.expr(_ASSESSED))
+    return load(spark, sf_dir, "documents").select("doc_id", status.alias("status"), confidence.alias("confidence"))
+
+
+_ANSWER = """'{"entities": [{"name": " ' || p_name || ' ", "type": "' || lower(p_type) || '"}, {"name": "' || p_brand || '", "type": "Small"}, {"name": "", "type": "ECONOMY"}], "relationships": [{"source": "' || p_name || '", "target": "' || CASE WHEN p_size % 3 = 0 THEN 'nobody' ELSE p_brand END || ' ", "type": "' || CASE WHEN p_size % 5 = 0 THEN '' ELSE 'cites' END || '"}]}'"""
+_KINDS = ("ECONOMY", "SMALL", "STANDARD")
+_PARSED = f"""a AS (SELECT p_partkey AS id, {_ANSWER} AS t FROM part), e AS (SELECT id, trim(json_extract_string(x, '$.name')) AS name, upper(trim(json_extract_string(x, '$.type'))) AS kind FROM (SELECT id, unnest(CAST(json_extract(t, '$.entities') AS JSON[])) AS x FROM a)),
+kept AS (SELECT * FROM e WHERE name <> '' AND kind IN {_KINDS})"""
 
 
-@query("""SELECT p_partkey AS id, 'ent' || CAST(p_partkey AS VARCHAR) AS name, 'ARTICLE' AS kind FROM part UNION ALL
-SELECT p_partkey, 'other', 'SECTION' FROM part WHERE p_partkey % 2 = 0""")
+@query(f"WITH {_PARSED} SELECT id, name, kind FROM kept")
 def extracted_entities(spark, sf_dir):
     """Entities of extraction answers: trimmed names, upper-case kinds of a list, others left out."""
-    answer = F.expr(
-        """concat('{"entities": [{"name": " ent', p_partkey, ' ", "type": "article"}, {"name": "other", "type": "', if(p_partkey % 2 = 0, 'section', 'planet'), '"}, {"name": "", "type": "ARTICLE"}]}')"""
-    )
-    found = T.extracted(answer, ["ARTICLE", "SECTION"])
+    found = T.extracted(F.expr(_ANSWER), list(_KINDS))
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(found.getField("entities")).alias("e")).selectExpr("id", "e.name name", "e.kind kind")
 
 
-@query("""SELECT p_partkey AS id, 'a' AS source, 'b' AS target, 'CITES' AS kind FROM part WHERE p_partkey % 3 = 0""")
+@query(f"""WITH {_PARSED}, r AS (SELECT id, trim(json_extract_string(t, '$.relationships[0].source')) AS source, trim(json_extract_string(t, '$.relationships[0].target')) AS target, upper(trim(json_extract_string(t, '$.relationships[0].type'))) AS kind FROM a)
+SELECT id, source, target, kind FROM r WHERE kind <> '' AND source IN (SELECT name FROM kept WHERE kept.id = r.id) AND target IN (SELECT name FROM kept WHERE kept.id = r.id)""")
 def extracted_edges(spark, sf_dir):
     """Edges of extraction answers, kept where both ends are among the entities of the answer."""
-    answer = F.expr(
-        """concat('{"entities": [{"name": "a", "type": "ARTICLE"}, {"name": "b", "type": "SECTION"}], "relationships": [{"source": "a", "target": "', if(p_partkey % 3 = 0, 'b', 'c'), '", "type": "cites"}]}')"""
-    )
-    found = T.extracted(answer, ["ARTICLE", "SECTION"])
+    found = T.extracted(F.expr(_ANSWER), list(_KINDS))
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(found.getField("edges")).alias("e")).selectExpr("id", "e.source source", "e.target target", "e.kind kind")
 
 
@@ -131,10 +165,20 @@ def community_titles(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", T.community_title("text", summary).alias("title"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' WHEN 2 THEN 'google' WHEN 3 THEN 'voyage' ELSE 'unknown' END AS provider FROM events""")
+_MODEL = f"CASE doc_id % 9 WHEN 0 THEN 'Claude-' || source WHEN 1 THEN 'x/GPT-' || lang WHEN 2 THEN source || '-o3-mini' WHEN 3 THEN 'gemini' WHEN 4 THEN 'Voyage-' || source WHEN 5 THEN 'text-embedding-' || source WHEN 6 THEN 'BAAI/' || source WHEN 7 THEN 'baai/' || source ELSE substr({_H}, 1, 6) END"
+
+
+def _provider(embeds: bool) -> str:
+    rules = [f"WHEN contains(lower(m), '{part}') THEN '{owner}'" for part, owner in C.PROVIDERS + C.EMBEDDERS * embeds]
+    rules += [f"WHEN contains(m, '{part}') THEN '{owner}'" for part, owner in C.EMBEDDER_OWNERS * embeds]
+    return f"CASE {' '.join(rules)} ELSE 'unknown' END"
+
+
+@query(f"SELECT doc_id, {_provider(True)} AS embeds, {_provider(False)} AS answers FROM (SELECT doc_id, {_MODEL} AS m FROM documents)")
 def providers(spark, sf_dir):
-    model = F.expr("case event_id % 5 when 0 then 'Claude-x' when 1 then 'gpt-9' when 2 then 'gemini-z' when 3 then 'voyage-law' else event_type end")
-    return load(spark, sf_dir, "events").select("event_id", C.provider(model, embeds=True).alias("provider"))
+    """Who provides a model, as one that embeds and as one that answers."""
+    model = F.expr(_MODEL)
+    return load(spark, sf_dir, "documents").select("doc_id", C.provider(model, embeds=True).alias("embeds"), C.provider(model).alias("answers"))
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '10.0.0.' || CAST(event_id % 256 AS VARCHAR) ELSE '192.0.2.' || CAST(user_id % 256 AS VARCHAR) END AS client,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from xml.etree import ElementTree
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.markup import html_strings
+from docquarry.lineage import remove
 from docquarry.session import ship_package
 
 # Encodings in the order in which they are tried; the last takes any bytes.
@@ -104,5 +106,44 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes a whole table in place of the one that was there; rows must not be read from it."""
-    rows.write.mode("overwrite").parquet(path)
+    """Writes a whole table in place of the one that was there, which rows may be read from.
+
+    The new table is written beside the old one and takes its name when it is whole, so that a write that
+    fails leaves the old one as it was. Between two renames the name is free for a moment.
+    """
+    spark = rows.sparkSession
+    fresh, old = (f"{path.rstrip('/')}.{end}-{uuid.uuid4().hex}" for end in ("new", "old"))
+    try:
+        rows.write.parquet(fresh)
+    except BaseException:
+        remove(spark, fresh)
+        raise
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    store = place(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    there = store.exists(place(path))
+    if there and not store.rename(place(path), place(old)):
+        raise OSError(f"can't move {path}")
+    if not store.rename(place(fresh), place(path)):
+        if there:
+            store.rename(place(old), place(path))
+        raise OSError(f"can't move the new table to {path}")
+    if there:
+        remove(spark, old)
+    spark.catalog.refreshByPath(path)
+
+
+#: A line of an access log: client, time, method, path, status and size.
+_ACCESS = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+)[^"]*" (\d{3}) (\d+|-)'
+
+
+def access_log(spark: SparkSession, path: str, statuses: tuple[int, ...] | None = None, last: int | None = None) -> DataFrame:
+    """(path, at, client, time, method, url, status, n_bytes) of lines of access logs with one of the statuses, or of all that
+    have the form; with `last` only so many from the end of each file. A time that can't be read is null."""
+    pattern = _ACCESS if statuses is None else _ACCESS.replace(r"(\d{3})", "(" + "|".join(map(str, statuses)) + ")")
+    rows = log_lines(spark, path, pattern, last)
+    part = lambda k: F.regexp_extract("line", _ACCESS, k)
+    time = F.try_to_timestamp(part(2), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
+    return rows.select(
+        "path", "at", part(1).alias("client"), time.alias("time"), part(3).alias("method"), part(4).alias("url"), part(5).cast("int").alias("status"),
+        F.nullif(part(6), F.lit("-")).try_cast("long").alias("n_bytes"),
+    )

@@ -54,3 +54,11 @@ def test_two_kinds_of_trigrams_differ(spark):
     assert value(spark, T.jaccard(T.word_trigrams(a), T.word_trigrams(b))) == 1
     assert value(spark, T.jaccard(T.trigrams(a), T.trigrams(b))) < 1
     assert value(spark, T.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))) == 0
+
+
+def test_numbers_that_are_too_large(spark):
+    rows = spark.createDataFrame([("a_p99999999999", "|12|;|99999999999999999999|", "99999999999/2020")], "page string, marks string, law string")
+    document, page = T.page_parts(F.col("page"))
+    number, year = T.legal_id(F.col("law"))
+    r = rows.select(document.alias("document"), page.alias("page"), T.numbered_marks("marks").alias("marks"), number.alias("number"), year.alias("year")).first()
+    assert tuple(r) == ("a", None, [12], None, 2020)

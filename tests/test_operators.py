@@ -1,6 +1,6 @@
 import random
 
-from docquarry.operators import graph, state
+from docquarry.operators import entities, graph, state
 from docquarry.operators.components import connected_components
 from docquarry.operators.skew import spread_join
 from docquarry.operators.vector import AdaptiveK, adaptive_k
@@ -94,3 +94,17 @@ def test_chains_end_and_cycles_end_at_their_smallest(spark):
     links = [(i, i + 1) for i in range(1, 9)] + [(20, 21), (21, 22), (22, 20), (30, 21)]
     got = {r.node: r.final for r in graph.chain_ends(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 9 for i in range(1, 9)}, 20: 20, 21: 20, 22: 20, 30: 20}
+
+
+def test_upserts_of_null_keys_and_maps(spark):
+    schema = "k long, name string, m map<string,string>"
+    base = spark.createDataFrame([(1, "a", {"x": "1", "y": "2"}), (None, "b", None), (3, "c", {"z": "1"})], schema)
+    new = spark.createDataFrame([(1, "A", {"y": "3"}), (None, "B", {"n": "1"}), (4, "D", None)], schema)
+    got = {r.k: (r.name, r.m) for r in entities.upserted(base, new, ["k"], ["name"], patch=["m"]).collect()}
+    assert got == {1: ("A", {"x": "1", "y": "3"}), None: ("B", {"n": "1"}), 3: ("c", {"z": "1"}), 4: ("D", {})}
+    assert {r.k: r.name for r in entities.upserted(base, new.where("k is null"), ["k"], ["name"]).collect()}[None] == "B"
+
+
+def test_depth_is_bounded(spark):
+    edges = spark.createDataFrame([(i, i, i + 1) for i in range(9)], "relationship_id long, source long, target long")
+    assert {r.relationship_id for r in graph.neighbourhood(edges, 0, 8).collect()} == set(range(graph.DEEPEST))

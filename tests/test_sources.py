@@ -3,6 +3,8 @@
 import json
 import zipfile
 
+import pytest
+
 from docquarry.operators import mutation
 from docquarry.sources import files, sheets
 
@@ -106,3 +108,24 @@ def test_snippets_and_criteria(spark, tmp_path):
     book(tmp_path / "c.xlsx", {"c": cells(1, {"B": "id"}) + cells(2, {"B": "3", "C": " p ", "E": "Is it?", "H": "|6|;|74|;x"}) + cells(3, {"C": "no id"})})
     r = sheets.criteria(spark, str(tmp_path / "c.xlsx")).collect()
     assert [(x.id, x.phase, x.group, x.text, x.snippet_ids, x.row_no) for x in r] == [(3, "p", "", "Is it?", [6, 74], 2)]
+
+
+def test_a_table_gives_way_to_a_whole_one_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.replace_table(spark.range(3), path)
+    files.replace_table(spark.read.parquet(path).selectExpr("id + 10 id"), path)  # read from where it goes
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [10, 11, 12]
+    with pytest.raises(Exception, match="no good"):
+        files.replace_table(spark.range(3).selectExpr("if(id = 2, raise_error('no good'), id) id"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [10, 11, 12]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_access_logs(spark, tmp_path):
+    line = '10.0.0.{0} - - [01/Feb/2024:10:00:0{0} +0000] "GET /a?b={0} HTTP/1.1" {1} {2} "-" "agent"\n'
+    (tmp_path / "a.log").write_text("".join(line.format(i, (200, 401, 403)[i % 3], "-" if i == 4 else i * 10) for i in range(9)) + "no form\n")
+    denied = files.access_log(spark, str(tmp_path), (401, 403)).collect()
+    assert sorted((r.client[-1], r.status, r.n_bytes) for r in denied) == [(str(i), (200, 401, 403)[i % 3], None if i == 4 else i * 10) for i in range(9) if i % 3]
+    assert all(r.method == "GET" and r.url.startswith("/a?b=") and r.time.minute == 0 for r in denied)
+    assert sorted(r.client[-1] for r in files.access_log(spark, str(tmp_path), (401, 403), last=2).collect()) == ["7", "8"]
+    assert files.access_log(spark, str(tmp_path)).count() == 9
