@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.lineage import cut, drop, tidied
+from docquarry.lineage import cut, drop, settings, stored, tidied
 from docquarry.llm import filters
 from docquarry.llm.common import bounded_batches, narrow
 from docquarry.operators.skew import spread_join
@@ -41,10 +41,13 @@ BUNDLE = 1 << 18
 #: Level at which texts that move are compressed.
 LEVEL = 6
 
+#: Which texts are held out (0), by a hash of the text.
+_FOLD = f"cast(pmod({{}}, {HELD}) as int)"
+
 _PAD = "\n" * (ORDER - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LISTED = "block long, gram string"
-_PACKED = "block long, ids array<long>, langs array<string>, folds array<int>, sizes array<long>, bytes long, texts binary"
+_PACKED = "block long, ids array<long>, langs array<string>, hashes array<long>, sizes array<long>, bytes long, texts binary"
 
 
 def hashed(joined: str) -> np.ndarray:
@@ -183,11 +186,11 @@ def _listed(batches):
 
 def _packed(batches):
     codec = pa.Codec("zstd", compression_level=LEVEL)
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-    names = ["block", "ids", "langs", "folds", "sizes", "bytes", "texts"]
-    for block, (texts, ids, langs, folds) in _blocks(batches):
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+    names = ["block", "ids", "langs", "hashes", "sizes", "bytes", "texts"]
+    for block, (texts, ids, langs, hashes) in _blocks(batches):
         data = "".join(t or "" for t in texts).encode("utf-8", "surrogatepass")
-        row = (block, ids, langs, folds, [len(t or "") for t in texts], len(data), codec.compress(data, asbytes=True))
+        row = (block, ids, langs, hashes, [len(t or "") for t in texts], len(data), codec.compress(data, asbytes=True))
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
 
@@ -250,9 +253,9 @@ def _scored(batches):
                     total += np.bincount(rows, worth[at], len(total))
                 each = [-t / s if s else None for t, s in zip(total.tolist(), row["sizes"])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(row["folds"], pa.int32()),
+                    [pa.array(row["ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(row["hashes"], pa.int64()),
                      pa.array(row["sizes"], pa.int64()), pa.array(each, pa.float64())],
-                    ["doc_id", "lang", "fold", "symbols", "bits"],
+                    ["doc_id", "lang", "text_hash", "symbols", "bits"],
                 )
 
 
@@ -308,13 +311,41 @@ def probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
     return below
 
 
+#: Parts of a plan that give the same rows in the same partitions whenever they are run.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD"}
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """docs if it is a projection or filter of files, else its rows as written to the shared folder: rows are read
+    more than once, and joins and shuffles may deal them otherwise each time."""
+    found, left = True, [docs._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        found = found and node.nodeName().split()[0] in _STEADY and node.deterministic()
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return docs if found else stored(docs)
+
+
+def _as_split_now(spark) -> dict[str, str]:
+    """Settings by which files are split in the same way although executors come and go."""
+    parts = spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism)
+    return {"spark.sql.files.minPartitionNum": parts}
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, fold, symbols, bits) of every row: bits for each symbol, null for texts without any.
+    """(doc_id, lang, text_hash, symbols, bits) of every row: bits for each symbol, null for texts without any.
 
-    Texts of fold 0 aren't counted. docs is read three times and must give the same rows in the same partitions,
-    as tables in files do; where it doesn't, the job fails.
+    Texts that fold() holds out aren't counted. docs is read three times; its rows are written to the shared folder
+    first unless they come straight from files.
     """
-    fold = f"cast(pmod(xxhash64(text), {HELD}) as int)"
+    docs = steady(docs.select("doc_id", "text", "lang"))
+    with settings(docs.sparkSession, _as_split_now(docs.sparkSession)):
+        return _perplexities(docs, trusted)
+
+
+def _perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    fold = _FOLD.format("xxhash64(text)")
     counted = narrow(trusted_rows(docs.select("doc_id", "text"), trusted).where(f"{fold} <> 0"), "text")
     counts = counted.mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     part = "cast(spark_partition_id() as bigint) part"
@@ -323,14 +354,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     grams = cut(listed.select("gram").distinct())
     probs = probabilities(grams, counts)
     drop(grams)
-    packed = narrow(docs, part, "text", "cast(doc_id as bigint) doc_id", "lang", f"{fold} fold").mapInArrow(_packed, _PACKED)
+    packed = narrow(docs, part, "text", "cast(doc_id as bigint) doc_id", "lang", "xxhash64(text) text_hash").mapInArrow(_packed, _PACKED)
     packed = packed.select("block", F.struct(*[c for c in packed.columns if c != "block"]).alias("pack"))
     worth = listed.join(probs, "gram").selectExpr("block", "gram", "log2(p) bits")
     worth = worth.mapInArrow(_bundled, "block long, grams string, bits binary")
     rows = worth.unionByName(packed, allowMissingColumns=True).select("block", "grams", "bits", "pack")
     bounded_batches(docs.sparkSession)
     scored = rows.repartition(max(blocks, 1), "block").sortWithinPartitions("block", F.col("pack").isNotNull())
-    scored = cut(scored.mapInArrow(_scored, "doc_id long, lang string, fold int, symbols long, bits double"))
+    scored = cut(scored.mapInArrow(_scored, "doc_id long, lang string, text_hash long, symbols long, bits double"))
     drop(listed, probs)
     return scored
 
@@ -345,7 +376,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 @tidied
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, perplexity, threshold, kept) for every row of docs.
+    """(doc_id, lang, text_hash, perplexity, threshold, kept) for every row of docs; text_hash is xxhash64 of the text.
 
     Languages without held-out trusted documents, and rows without a language, take the threshold of all
     held-out trusted documents together; without any such document all are kept. Null and empty texts have
@@ -354,7 +385,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = trusted_ids(labels)
     scored = perplexities(docs, trusted)
-    good = scored.where("fold = 0 and bits is not null").join(trusted, "doc_id", "left_semi")
+    good = scored.where(f"{_FOLD.format('text_hash')} = 0 and bits is not null").join(trusted, "doc_id", "left_semi")
     limits = [
         F.expr("percentile_approx(bits, 0.5, 10000) usual"),
         F.expr(f"percentile_approx(bits, {QUANTILE}, 10000) + {MARGIN} top"),
@@ -365,13 +396,18 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
         {"usual": F.coalesce("usual", usual), "top": F.coalesce("top", top)}
     )
     return rows.selectExpr(
-        "doc_id", "lang", "pow(2D, bits) perplexity", "pow(2D, top) threshold",
+        "doc_id", "lang", "text_hash", "pow(2D, bits) perplexity", "pow(2D, top) threshold",
         f"coalesce((bits * symbols + usual * {PRIOR}) / (symbols + {PRIOR}) <= top, true) kept",
     )
 
 
 @tidied
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept; rows with a null doc_id stay only if all such rows are kept."""
-    bad = judge(docs, labels).where("not kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs that are kept. Rows are told apart by doc_id, language and a 64-bit hash of the text, whose
+    verdict is the same wherever they stand; all columns stay as they are."""
+    docs = steady(docs)
+    key = ["doc_id", "lang", "text_hash"]
+    bad = judge(docs, labels).where("not kept").select(*[F.col(c).alias(f"_bad_{c}") for c in key]).distinct()
+    own = {"doc_id": docs["doc_id"], "lang": docs["lang"], "text_hash": F.xxhash64(docs["text"])}
+    same = [own[c].cast(bad.schema[f"_bad_{c}"].dataType).eqNullSafe(bad[f"_bad_{c}"]) for c in key]
+    return docs.join(bad, same, "left_anti")

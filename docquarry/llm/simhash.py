@@ -178,6 +178,10 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     found = connected_components(links(least.select("fp"))).withColumnRenamed("node", "fp")
     named = least.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"))
     kept = named.agg(F.min("first").alias("first")).selectExpr("first.doc_id _id", "first.text_hash _hash")
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = rows["_text_hash"].eqNullSafe(kept["_hash"]) & rows["doc_id"].eqNullSafe(kept["_id"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    # a name of its own, whatever the columns of docs are called
+    own = "_text_hash"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    same = rows[own].eqNullSafe(kept["_hash"]) & rows["doc_id"].eqNullSafe(kept["_id"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)

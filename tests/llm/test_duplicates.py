@@ -57,6 +57,13 @@ def test_simhash_keeps_one_of_each_group(odd):
     assert simhash.keep_representatives(odd).columns == odd.columns
 
 
+def test_simhash_keeps_columns_of_its_own_names(documents):
+    docs = documents.selectExpr("*", "'a' _text_hash", "'b' _text_hash_", "1 fp", "2 first")
+    kept = simhash.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    assert {(r["_text_hash"], r["_text_hash_"], r.fp, r["first"]) for r in kept.collect()} == {("a", "b", 1, 2)}
+
+
 def test_simhash_keeps_one_of_each_group_whatever_the_ids(spark):
     one, two, three = ("the first text of its own", "another one with different words", "yet a third that nothing is like")
     rows = [(None, one), (None, two), (None, two), (7, three), (None, three), (8, one + " a"), (8, two + " and more of them")]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from compare import same
 from fixtures import ODD, texts
+from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, langid, packing, pii, quality, queries, topk
 
@@ -213,6 +214,24 @@ def test_quality_rejects_the_bad(documents, labels, odd):
     assert quality.judge(documents, labels.where("false")).where("kept").count() == documents.count()
 
 
+def test_quality_judges_any_frame_by_row(spark, documents, labels):
+    good = documents.join(labels.where("quality = 1 and toxic = 0"), "doc_id", "left_semi").orderBy("doc_id").first()
+    bad = "q" * 400
+    more = [(900_101, good.text, good.lang), (900_101, bad, good.lang), (None, bad, good.lang), (None, good.text, good.lang), (None, good.text, good.lang), (None, None, None)]
+    docs = documents.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"), True)
+    plain = {(r.doc_id, r.text_hash, r.lang): r.kept for r in quality.judge(docs, labels).collect()}
+    # rows that a shuffle deals anew, and rows of a join
+    other = docs.repartition(7).join(docs.select("lang").distinct(), "lang", "left")
+    assert {(r.doc_id, r.text_hash, r.lang): r.kept for r in quality.judge(other, labels).collect()} == plain
+    kept = quality.keep_good(docs.repartition(5), labels)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert (900_101, good.text) in got and (900_101, bad) not in got
+    assert sorted(t or "" for i, t in got if i is None) == sorted(["", good.text, good.text])
+    hashes = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).collect()
+    assert sorted(map(str, got)) == sorted(str((r.doc_id, r.text)) for r in hashes if plain[r.doc_id, r.h, r.lang])
+
+
 def test_top_k(spark, sf_dir, duck):
     same(queries.op2_topk(spark, sf_dir), duck.sql(queries.OP2_SQL))
 
