@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.session import ship_package
@@ -27,6 +30,22 @@ def narrow(docs: DataFrame, *exprs: str) -> DataFrame:
     return docs.selectExpr(*exprs)
 
 
+def releasing(run):
+    """A function of batches that gives freed memory back to the system when a task's last batch is done: Python
+    processes wait for later tasks, and what they hold counts as the executor's."""
+
+    def released(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+
+    return released
+
+
 def word_blocks(data: bytes, size: int = 1 << 20):
     """Lists of the words of data (runs of bytes other than space and \\t \\n \\v \\f \\r).
 

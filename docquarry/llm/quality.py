@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docquarry.lineage import cut, drop, settings, stored, tidied
 from docquarry.llm import filters
-from docquarry.llm.common import bounded_batches, narrow
+from docquarry.llm.common import bounded_batches, narrow, releasing
 from docquarry.operators.skew import spread_join
 
 ORDER = 5
@@ -347,21 +347,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def _perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     fold = _FOLD.format("xxhash64(text)")
     counted = narrow(trusted_rows(docs.select("doc_id", "text"), trusted).where(f"{fold} <> 0"), "text")
-    counts = counted.mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = counted.mapInArrow(releasing(_counts), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     part = "cast(spark_partition_id() as bigint) part"
-    listed = cut(narrow(docs, part, "text").mapInArrow(_listed, _LISTED))
+    listed = cut(narrow(docs, part, "text").mapInArrow(releasing(_listed), _LISTED))
     blocks = listed.agg(F.countDistinct("block")).first()[0]
     grams = cut(listed.select("gram").distinct())
     probs = probabilities(grams, counts)
     drop(grams)
-    packed = narrow(docs, part, "text", "cast(doc_id as bigint) doc_id", "lang", "xxhash64(text) text_hash").mapInArrow(_packed, _PACKED)
+    packed = narrow(docs, part, "text", "cast(doc_id as bigint) doc_id", "lang", "xxhash64(text) text_hash").mapInArrow(releasing(_packed), _PACKED)
     packed = packed.select("block", F.struct(*[c for c in packed.columns if c != "block"]).alias("pack"))
     worth = listed.join(probs, "gram").selectExpr("block", "gram", "log2(p) bits")
-    worth = worth.mapInArrow(_bundled, "block long, grams string, bits binary")
+    worth = worth.mapInArrow(releasing(_bundled), "block long, grams string, bits binary")
     rows = worth.unionByName(packed, allowMissingColumns=True).select("block", "grams", "bits", "pack")
     bounded_batches(docs.sparkSession)
     scored = rows.repartition(max(blocks, 1), "block").sortWithinPartitions("block", F.col("pack").isNotNull())
-    scored = cut(scored.mapInArrow(_scored, "doc_id long, lang string, text_hash long, symbols long, bits double"))
+    scored = cut(scored.mapInArrow(releasing(_scored), "doc_id long, lang string, text_hash long, symbols long, bits double"))
     drop(listed, probs)
     return scored
 
