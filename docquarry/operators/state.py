@@ -183,6 +183,19 @@ def streaks(rows: DataFrame, key: str, order: list[str], failed: str) -> DataFra
     return rows.withColumn("run", F.sum(F.when(F.expr(failed), 1).otherwise(0)).over(inside)).drop("_island")
 
 
+def repeated_failures(rows: DataFrame, key: str, order: list[str], failed: str, last: int = 3, run: int = 2) -> DataFrame:
+    """rows with stop: whether so many failures in a row stand among the last rows of the key, this one included."""
+    w = Window.partitionBy(key).orderBy(*order)
+    before = [F.coalesce(F.lag(F.expr(failed), k).over(w) if k else F.expr(failed), F.lit(False)) for k in range(last)]
+    stop = F.lit(False)
+    for k in range(last - run + 1):
+        own = F.lit(True)
+        for flag in before[k : k + run]:
+            own = own & flag
+        stop = stop | own
+    return rows.withColumn("stop", stop)
+
+
 def quiet_periods(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """(key, first_at, fires_at, n): events with gaps of at most that many seconds run together; each
     run fires once it has been quiet for so long."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.plans import accounts, analytics, graphs, knowledge, relational, resolution, scalars, states, texts, vectors  # noqa: F401  they register
+from docquarry.plans import accounts, analytics, graphs, knowledge, rebuilt, relational, resolution, scalars, states, texts, vectors  # noqa: F401  they register
 from docquarry.plans.registry import QUERIES, SQL
 
 

@@ -20,6 +20,15 @@ def conversation_counts(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("message_count"))
 
 
+@query("""SELECT c_custkey AS user_id, CAST(count(o_orderkey) AS BIGINT) AS conversations, max(o_orderdate) AS latest FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' GROUP BY 1""")
+def user_conversations(spark, sf_dir):
+    """Users with the number of their conversations, 0 for none, and the latest: counted before the join."""
+    own = load(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("user_id"))
+    own = own.agg(F.count("*").alias("n"), F.max("o_orderdate").alias("latest"))
+    users = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return users.join(own, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("conversations"), "latest")
+
+
 @query("""SELECT CAST((SELECT count(*) FROM customer) AS BIGINT) AS users, CAST((SELECT count(*) FROM orders) AS BIGINT) AS conversations,
 CAST((SELECT count(*) FROM lineitem) AS BIGINT) AS messages,
 round((SELECT count(*) FROM orders) / greatest((SELECT count(*) FROM customer), 1), 4) AS per_user,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquarry.operators import state
+from docquarry.operators import caches, state
 from docquarry.plans.registry import query
 from docquarry.sources import load
 
@@ -95,3 +95,32 @@ def folded_event_streams(spark, sf_dir):
     )
     twice = rows.unionByName(rows.where("seq % 3 = 0"))  # repeats change nothing
     return state.folded(twice).withColumn("n_tools", F.size("tools")).drop("tools")
+
+
+_ASKED = "(SELECT CAST(user_id % 20 AS VARCHAR) AS cache, CAST(event_id * 7919 % 37 * (1 + event_id % 3) AS VARCHAR) AS key, event_id AS ask_id, ts FROM events)"
+_ASKS = "cast(user_id % 20 as string) cache", "cast(event_id * 7919 % 37 * (1 + event_id % 3) as string) key", "event_id ask_id", "ts"
+
+
+@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY cache ORDER BY ts, ask_id) AS n FROM {_ASKED}), p AS (SELECT *, lag(n) OVER (PARTITION BY cache, key ORDER BY n) AS before FROM a),
+h AS (SELECT p.cache, p.ask_id, p.before IS NOT NULL AND count(DISTINCT b.key) FILTER (WHERE b.n > p.before) < 25 AS hit FROM p LEFT JOIN a b ON b.cache = p.cache AND b.n > p.before AND b.n < p.n GROUP BY p.cache, p.ask_id, p.before)
+SELECT cache, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE NOT hit) AS BIGINT) AS misses, round(count(*) FILTER (WHERE hit) / count(*), 3) AS hit_rate FROM h GROUP BY 1""")
+def cache_rates(spark, sf_dir):
+    """Hit rates of caches of 25 values that drop what was used longest ago."""
+    return caches.hit_rates(caches.cache_hits(load(spark, sf_dir, "events").selectExpr(*_ASKS), 25))
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT cache, key, ask_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY cache, key ORDER BY ts, ask_id) AS n FROM {_ASKED}),
+f(cache, key, n, ask_id, hit, since) AS (SELECT cache, key, n, ask_id, false, us FROM a WHERE n = 1 UNION ALL
+SELECT a.cache, a.key, a.n, a.ask_id, a.us < f.since + 86400000000, CASE WHEN a.us < f.since + 86400000000 THEN f.since ELSE a.us END FROM f JOIN a ON a.cache = f.cache AND a.key = f.key AND a.n = f.n + 1)
+SELECT cache, ask_id, hit FROM f""")
+def cache_lifetimes(spark, sf_dir):
+    """What caches answer whose values live for a day."""
+    return caches.cache_hits(load(spark, sf_dir, "events").selectExpr(*_ASKS), None, caches.SECONDS)
+
+
+@query("""WITH c AS (SELECT user_id, event_id, event_type = 'error' AS f, lag(event_type = 'error', 1, false) OVER w AS f1, lag(event_type = 'error', 2, false) OVER w AS f2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id FROM c WHERE (f AND f1) OR (f1 AND f2)""")
+def early_stops(spark, sf_dir):
+    """Calls at which two failures in a row stand among the last three."""
+    rows = load(spark, sf_dir, "events")
+    return state.repeated_failures(rows, "user_id", ["ts", "event_id"], "event_type = 'error'").where("stop").select("user_id", "event_id")
