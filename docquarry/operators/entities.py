@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.lineage import cut
+from docquarry.lineage import cut, stored
 from docquarry.operators.components import connected_components
 
 #: A share of a whole number may come out this much too large in floating point.
@@ -55,16 +55,24 @@ def gram_pairs(rows: DataFrame, grams: Column, least: float, within: list[str] |
 
 
 def contained_pairs(rows: DataFrame, least_share: float = 0.4, min_words: int = 2) -> DataFrame:
-    """(short_id, long_id): names that another name of the same type contains, of that share of its
-    length at least and with that many words. Rows (id, name, kind) meet through their words' pieces:
-    a contained name's first three letters occur in the longer one."""
-    pieces = F.expr("array_distinct(transform(sequence(1, greatest(length(name) - 2, 1)), i -> substr(name, i, 3)))")
-    short = rows.where(F.size(F.split("name", " ")) >= min_words).select(
-        F.col("id").alias("short_id"), F.col("name").alias("short"), "kind", F.substring("name", 1, 3).alias("piece")
-    )
-    long = rows.select(F.col("id").alias("long_id"), F.col("name").alias("long"), "kind", F.explode(pieces).alias("piece"))
-    fits = F.contains("long", "short") & (F.length("short") < F.length("long")) & (F.length("short") >= least_share * F.length("long"))
-    return short.join(long, ["kind", "piece"]).where(fits).select("short_id", "long_id", "short", "long")
+    """(short_id, long_id, short, long): names that a longer name of the same kind contains, of that share of its
+    length at least and with that many words. Rows are (id, name, kind).
+
+    The shorter name looks for longer ones by the rarest of its pieces of a few letters within its kind, so that common
+    beginnings bring nothing together. So many words have one letter each at least, and blanks between, which
+    bounds the length of a piece. Null kinds are a kind of their own.
+    """
+    size = max(1, min(4, 2 * min_words - 1))
+    pieces = F.expr(f"array_distinct(transform(sequence(1, greatest(length(name) - {size - 1}, 1)), i -> substr(name, i, {size})))")
+    names = stored(rows.where(F.length("name") >= size).select("id", "name", F.struct("kind").alias("kind")))
+    held = names.select("kind", "id", "name", F.explode(pieces).alias("piece"))
+    often = held.groupBy("kind", "piece").agg(F.count("*").alias("n"))
+    short = held.where(F.size(F.split("name", " ")) >= min_words)
+    rarest = short.join(often, ["kind", "piece"]).groupBy("kind", "id", "name").agg(F.min(F.struct("n", "piece")).alias("m"))
+    rarest = rarest.selectExpr("kind", "id short_id", "name short", "m.piece piece")
+    met = rarest.join(held.selectExpr("kind", "id long_id", "name long", "piece"), ["kind", "piece"])
+    fits = F.contains("long", "short") & (F.length("short") < F.length("long")) & (F.length("short") >= F.lit(least_share) * F.length("long"))
+    return met.where(fits).select("short_id", "long_id", "short", "long")
 
 
 def merge_map(links: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.lineage import discard, stored, tidied
-from docquarry.operators.entities import gram_pairs
+from docquarry.operators.entities import contained_pairs, gram_pairs
 from docquarry.operators.graph import chain_ends
 
 # Kinds whose names say too little for a stage, shares and numbers of pairs that stages take.
@@ -21,14 +21,6 @@ LETTERS_OVER, LETTERS_MOST = 0.75, 200
 BETWEEN, WORDS_OVER, WORDS_MOST = (0.3, 0.75), 0.6, 500
 LEADER_OVER, LONGEST = 0.7, 2000
 
-#: Letters of the pieces by which a name finds those that hold it.
-PIECE = 4
-
-
-def _pieces(name) -> F.Column:
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(length({name}) - {PIECE - 1}, 1)), i -> substr({name}, i, {PIECE})))")
-
-
 def exact_groups(entities: DataFrame) -> DataFrame:
     """(canonical_id, kind, name, n, description) of names that occur again within a kind, whatever their case: the entity of the
     longest description stays, the first of several; descriptions are joined, each once, in the order of ids."""
@@ -49,22 +41,13 @@ def substring_candidates(
 ) -> DataFrame:
     """(short_id, long_id): names, normalised, that a longer one of the same kind and document holds.
 
-    The shorter name has so many words and that share of the longer one's length at least. It looks for longer
-    names by the rarest of its pieces of four letters within its kind and document, so that common
-    beginnings bring nothing together. Null kinds and documents are values of their own.
+    The shorter name has so many words and that share of the longer one's length at least. Null kinds and
+    documents are values of their own.
     """
     names = entities.where(~F.coalesce(F.col("kind").isin(*skipped), F.lit(False))).select(
-        F.col("entity_id").alias("id"), T.normalized_name("name").alias("name"), F.struct("kind", "document_id").alias("scope")
+        F.col("entity_id").alias("id"), T.normalized_name("name").alias("name"), F.struct("kind", "document_id").alias("kind")
     )
-    names = stored(names.where("name <> ''"))
-    held = names.select("scope", "id", "name", F.explode(_pieces("name")).alias("piece"))
-    often = held.groupBy("scope", "piece").agg(F.count("*").alias("n"))
-    short = held.where(F.size(F.split("name", " ")) >= min_words).where(F.length("piece") >= PIECE)
-    rarest = short.join(often, ["scope", "piece"]).groupBy("scope", "id", "name").agg(F.min(F.struct("n", "piece")).alias("m"))
-    rarest = rarest.selectExpr("scope", "id short_id", "name short", "m.piece piece")
-    met = rarest.join(held.selectExpr("scope", "id long_id", "name long", "piece"), ["scope", "piece"])
-    fits = F.contains("long", "short") & (F.length("short") < F.length("long")) & (F.length("short") >= F.lit(least_share) * F.length("long"))
-    return met.where(fits).select("short_id", "long_id")
+    return contained_pairs(names, least_share, min_words).select("short_id", "long_id")
 
 
 @tidied

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from docquarry.session import ship_package
 
-#: Rows of a block, and rows of it that are multiplied at once.
-BLOCK, STRIP = 4096, 512
+#: Rows of a block, bytes of its vectors, and rows of it that are multiplied at once.
+BLOCK, BYTES, STRIP = 4096, 4 << 20, 512
 
 
 def _vectors(rows: DataFrame, id_col: str, group: Column, vector: str) -> DataFrame:
@@ -30,14 +30,16 @@ def _vectors(rows: DataFrame, id_col: str, group: Column, vector: str) -> DataFr
 
 
 def _blocks(vectors: DataFrame, side: str, size: int) -> DataFrame:
-    """(g, d, blocks, block, <side>): lists of the rows of a block; a group of n rows has n / size blocks."""
-    counts = vectors.groupBy("g", "d").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"))
+    """(g, d, blocks, block, <side>): lists of the rows of a block; a group of n rows has n / size blocks, more where long vectors
+    would make these more than BYTES."""
+    rows = f"least({size}, greatest({BYTES} div (8 * d), 64))"
+    counts = vectors.groupBy("g", "d").agg(F.count("*").alias("n")).selectExpr("g", "d", f"cast(ceil(n / {rows}) as int) blocks")
     dealt = vectors.join(counts, ["g", "d"]).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     return dealt.groupBy("g", "d", "blocks", "block").agg(F.collect_list(F.struct("id", "v")).alias(side))  # about `size` rows
 
 
 def _unit(column, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, unit vectors) of one list of rows, by falling id order turned ascending."""
+    """(ids, unit vectors) of one list of rows, in the order of ids."""
     own = column.slice(row, 1).flatten()
     ids = own.field(0).to_numpy(zero_copy_only=False)
     flat = own.field(1).flatten().to_numpy(zero_copy_only=False)
