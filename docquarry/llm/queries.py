@@ -50,9 +50,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = "</s>[INST] ok [/INST]"
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-1, 0, "user", asked), (-1, 1, "assistant", asked)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", "'</s>[INST] ok [/INST]' text")
     return chat.digests(chat.format_conversations(rows.unionByName(own)))
 
 
