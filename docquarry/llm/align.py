@@ -69,6 +69,9 @@ class ByteLevel:
             "own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes) if b}, special_tokens={}
         )
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return self.own.decode_bytes(ids.tolist())
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [self.own.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64) for t in texts]
 
@@ -86,6 +89,9 @@ class Pieces:
             code = _BYTE.fullmatch(piece) if self.own.is_byte(i) else None
             self.bytes.append(bytes([int(code[1], 16)]) if code else piece.replace("▁", " ").encode())
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.int64) for x in self.own.encode(texts, num_threads=1)]
 
@@ -111,24 +117,25 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.lengths = [np.array([len(t) for t in v.bytes]) for v in (self.a, self.b)]
-        # an id with the mark that follows it: within a side, behind A, behind B, at the text's end
-        self.shown = [
-            [f"{i}{mark}".encode() for i in range(len(v.bytes)) for mark in (",", "|", ";", "")] for v in (self.a, self.b)
-        ]
+        # an id with the mark that follows it: within a side, behind A, behind B, at the text's end; B's ids follow A's
+        self.shown = [f"{i}{mark}".encode() for v in (self.a, self.b) for i in range(len(v.bytes)) for mark in (",", "|", ";", "")]
+        self.shown_lengths = np.array([len(x) for x in self.shown])
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both kinds; none where the joined bytes of either aren't those of space and text."""
         none = np.zeros(0, np.int64)
         asked = [t for t in texts if t]
-        found = iter(zip(asked, self.a.ids(asked), self.b.ids(asked)))
+        ids = [self.a.ids(asked), self.b.ids(asked)]
+        whole = [b" " + t.encode() for t in asked]
+        kept = [True] * len(asked)
+        for vocabulary, each in zip((self.a, self.b), ids):
+            # all texts at once; one by one only where something differs
+            if asked and vocabulary.joined(np.concatenate(each)) != b"".join(whole):
+                kept = [k and vocabulary.joined(x) == w for k, x, w in zip(kept, each, whole)]
+        found = iter(zip(kept, *ids))
         out = []
         for text in texts:
-            if not text:
-                out.append((none, none))
-                continue
-            _, *both = next(found)
-            whole = b" " + text.encode()
-            same = all(b"".join(map(v.bytes.__getitem__, ids.tolist())) == whole for v, ids in zip((self.a, self.b), both))
+            same, *both = next(found) if text else (False,)
             out.append(tuple(both) if same else (none, none))
         return out
 
@@ -159,22 +166,18 @@ class Aligner:
     def _digests(self, ids, last, text, numbers) -> list[str]:
         """Lowercase hex of `a1,a2|b1;a3|b2,b3` of each text; empty without tokens."""
         closes = text != np.append(text[1:], -1)
-        shown, group = [], []
-        for k in (0, 1):
-            mark = np.zeros(len(ids[k]), np.int64)
-            mark[last[k]] = 1 if k == 0 else np.where(closes, 3, 2)
-            shown.append(np.array(ids[k]) * 4 + mark)
-            group.append(np.searchsorted(last[k], np.arange(len(ids[k]))) * 2 + k)
-        order = np.argsort(np.concatenate(group), kind="stable")
-        split = len(ids[0])
-        parts = [self.shown[0][i] for i in shown[0].tolist()] + [self.shown[1][i] for i in shown[1].tolist()]
-        order, out, at = order.tolist(), [], 0
-        assert len(parts) == split + len(ids[1])
-        for n in (numbers[:, 0] + numbers[:, 1]).tolist():
-            joined = b"".join([parts[i] for i in order[at : at + n]])
-            out.append(hashlib.sha256(joined).hexdigest() if n else "")
-            at += n
-        return out
+        # every token lies in a group; those of B stand behind those of A of their group
+        group = [np.repeat(np.arange(len(text)), np.diff(x, prepend=-1)) for x in last]
+        before = [np.append(0, last[1][:-1] + 1)[group[0]], last[0][group[1]] + 1]
+        merged = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        for k, mark in ((0, 1), (1, np.where(closes, 3, 2))):
+            shown = ids[k] * 4 + 4 * k * len(self.a.bytes)
+            shown[last[k]] += mark
+            merged[np.arange(len(shown)) + before[k]] = shown
+        joined = memoryview(b"".join(map(self.shown.__getitem__, merged.tolist())))
+        tokens = np.append(0, np.cumsum(numbers[:, 0] + numbers[:, 1]))
+        at = np.append(0, np.cumsum(self.shown_lengths[merged]))[tokens].tolist()
+        return [hashlib.sha256(joined[x:y]).hexdigest() if x < y else "" for x, y in zip(at[:-1], at[1:])]
 
 
 def _parts(texts: list):
