@@ -36,9 +36,11 @@ def postings(rows: DataFrame, id_col: str, texts: dict[str, str], partitions: li
     return found.select("lexeme", id_col, *partitions, F.col("held.position").alias("positions"), F.col("held.label").alias("labels"))
 
 
-def write_index(index: DataFrame, path: str, id_col: str, files: int = 8) -> DataFrame:
-    """The postings as files sorted by lexeme; documents are dealt over the files, so that no lexeme is too much for one."""
-    dealt = index.repartition(files, F.xxhash64(id_col)).sortWithinPartitions("lexeme", id_col)
+def write_index(index: DataFrame, path: str, id_col: str, files: int | None = None) -> DataFrame:
+    """The postings as files sorted by lexeme, as many as given or as Spark makes of their size; documents are dealt over
+    the files, so that no lexeme is too much for one."""
+    key = F.xxhash64(id_col)
+    dealt = (index.repartition(key) if files is None else index.repartition(files, key)).sortWithinPartitions("lexeme", id_col)
     dealt.write.option("parquet.block.size", str(4 << 20)).parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
 
