@@ -16,8 +16,8 @@ from docquarry.functions import text as T
 # counts, how many positions of a lexeme are kept, and the sum of 1/n^2 by which occurrences are scaled.
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
 LAST_POSITION, MOST_POSITIONS, SCALE = 16383, 255, 1.64493406685
-#: Words this far apart add nothing that a double could hold.
-FAR = 100
+#: Words further apart add nothing that a double could hold; the rank of words that are all so far apart.
+FAR, LEAST_RANK = 100, 1e-20
 
 
 def postings(rows: DataFrame, id_col: str, texts: dict[str, str], partitions: list[str] = ()) -> DataFrame:
@@ -29,6 +29,8 @@ def postings(rows: DataFrame, id_col: str, texts: dict[str, str], partitions: li
         return F.transform(words, lambda w: F.struct(w.alias("lexeme"), F.lit(label).alias("label")))
 
     words = [words_of(label, column) for label, column in texts.items()]
+    # texts are dealt by document, so that their words, many times as many bytes, are grouped where they are
+    rows = rows.select(id_col, *partitions, *texts.values()).repartition(F.col(id_col))
     each = rows.select(id_col, *partitions, F.posexplode(F.concat(*words)).alias("at", "w"))
     each = each.select("w.lexeme", id_col, *partitions, F.least(F.col("at") + 1, F.lit(LAST_POSITION)).alias("position"), "w.label")
     held = F.slice(F.sort_array(F.collect_set(F.struct("position", "label"))), 1, MOST_POSITIONS)  # within one document
@@ -37,10 +39,10 @@ def postings(rows: DataFrame, id_col: str, texts: dict[str, str], partitions: li
 
 
 def write_index(index: DataFrame, path: str, id_col: str, files: int | None = None) -> DataFrame:
-    """The postings as files sorted by lexeme, as many as given or as Spark makes of their size; documents are dealt over
-    the files, so that no lexeme is too much for one."""
-    key = F.xxhash64(id_col)
-    dealt = (index.repartition(key) if files is None else index.repartition(files, key)).sortWithinPartitions("lexeme", id_col)
+    """The postings as files sorted by lexeme, as many as given or as postings() dealt the documents to; documents are dealt
+    over the files, so that no lexeme is too much for one."""
+    dealt = index if files is None else index.repartition(files, F.xxhash64(id_col))
+    dealt = dealt.sortWithinPartitions("lexeme", id_col)
     dealt.write.option("parquet.block.size", str(4 << 20)).parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
 
@@ -50,13 +52,6 @@ def query_lexemes(spark: SparkSession, query: str) -> list[str]:
     return spark.range(1).select(T.lexemes(F.lit(query)).alias("q")).first().q
 
 
-def _found(index: DataFrame, id_col: str, lexemes: list[str], keep: list[str]) -> DataFrame:
-    """A row for each document that has all lexemes, with a map of what it has of each."""
-    hits = index.where(F.col("lexeme").isin(lexemes))
-    own = F.map_from_entries(F.collect_list(F.struct("lexeme", F.struct("positions", "labels"))))  # one entry for each lexeme asked
-    return hits.groupBy(id_col, *keep).agg(own.alias("own")).where(F.size("own") == len(lexemes))
-
-
 def match(index: DataFrame, id_col: str, query: str, keep: list[str] = ()) -> DataFrame:
     """(<id>, *keep) of documents with every word of the query; a query without words matches nothing."""
     lexemes = query_lexemes(index.sparkSession, query)
@@ -82,19 +77,17 @@ def _single(entry: Column) -> Column:
     return (best + F.aggregate(shares, F.lit(0.0), lambda s, x: s + x) - best / (at * at)) / SCALE
 
 
-def _pair(a: Column, b: Column) -> Column:
-    """What is left of 1 when two lexemes stand at these places: closer ones leave less."""
-
-    def near(p: Column, x: Column, q: Column, y: Column) -> Column:
-        gap = F.abs(p - q).cast("double")
-        worth = F.sqrt(_weight(x) * _weight(y) / (1.005 + 0.05 * F.exp(gap / 1.5 - 2)))
-        return F.when((gap == 0) | (gap > FAR), F.lit(1.0)).otherwise(1 - worth)
-
-    left, right = F.arrays_zip(a["positions"], a["labels"]), F.arrays_zip(b["positions"], b["labels"])
-    return F.aggregate(
-        left, F.lit(1.0),
-        lambda s, u: s * F.aggregate(right, F.lit(1.0), lambda t, v: t * near(u["positions"], u["labels"], v["positions"], v["labels"])),
-    )
+def _nearness(hits: DataFrame) -> DataFrame:
+    """(k, left): what is left of 1 for each document k after all pairs of places of different lexemes within FAR of each other, the
+    closer the less. Places meet in stretches of FAR words, each with its own and the neighbouring ones."""
+    each = hits.select("k", "lexeme", F.explode(F.arrays_zip("positions", "labels")).alias("e"))
+    each = each.select("k", "lexeme", F.col("e.positions").alias("at"), _weight(F.col("e.labels")).alias("w"))
+    stretch = F.floor(F.col("at") / FAR)
+    a = each.select("k", F.col("lexeme").alias("la"), F.col("at").alias("p"), F.col("w").alias("x"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
+    b = each.select("k", F.col("lexeme").alias("lb"), F.col("at").alias("q"), F.col("w").alias("y"), stretch.alias("stretch"))
+    met = a.join(b, ["k", "stretch"]).where(f"la < lb and p <> q and abs(p - q) <= {FAR}")
+    worth = "sqrt(x * y / (1.005D + 0.05D * exp(abs(p - q) / 1.5D - 2)))"
+    return met.groupBy("k").agg(F.exp(F.sum(F.expr(f"log1p(-{worth})"))).alias("left"))
 
 
 def rank(index: DataFrame, id_col: str, query: str, keep: list[str] = (), digits: int = 6) -> DataFrame:
@@ -105,17 +98,13 @@ def rank(index: DataFrame, id_col: str, query: str, keep: list[str] = (), digits
     of words that never stand within reach of each other leave the least rank.
     """
     lexemes = query_lexemes(index.sparkSession, query)
-    found = _found(index, id_col, lexemes, list(keep))
+    names = [id_col, *keep]
     if not lexemes:
-        return found.select(id_col, *keep, F.lit(0.0).alias("rank"))
-    entry = [F.col("own")[w] for w in lexemes]
+        return index.select(*names, F.lit(0.0).alias("rank")).where("false")
+    hits = index.where(F.col("lexeme").isin(lexemes)).select(F.struct(*names).alias("k"), "lexeme", "positions", "labels")
     if len(lexemes) == 1:
-        score = _single(entry[0])
-    else:
-        rest = F.lit(1.0)
-        for i in range(len(entry)):
-            for k in range(i):
-                rest = rest * _pair(entry[k], entry[i])
-        score = 1 - rest
-        score = F.when(score > 0, score).otherwise(F.lit(1e-20))
-    return found.select(id_col, *keep, F.round(score, digits).alias("rank"))
+        return hits.select("k.*", F.round(_single(F.struct("positions", "labels")), digits).alias("rank"))
+    whole = hits.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") == len(lexemes)).select("k")
+    score = 1 - F.coalesce("left", F.lit(1.0))
+    score = F.when(score > 0, score).otherwise(F.lit(LEAST_RANK))
+    return whole.join(_nearness(hits), "k", "left").select("k.*", F.round(score, digits).alias("rank"))
