@@ -53,7 +53,8 @@ PUBLIC_STARTS = ("/static/", "/favicon.ico", "/assets/")
 @dataclass(frozen=True)
 class Limits:
     """Requests a minute of each route, by the start of the path; how many tokens a bucket holds, and after how many
-    seconds without requests it is forgotten, so that it starts full again."""
+    seconds without requests it is forgotten, so that it starts full again. `unit` is how many seconds of the requests'
+    times count as one."""
 
     routes: dict[str, int] = field(default_factory=lambda: dict(ROUTE_LIMITS))
     default: int = DEFAULT_LIMIT
@@ -61,6 +62,7 @@ class Limits:
     idle: float = 600
     public: tuple[str, ...] = PUBLIC_ROUTES
     public_starts: tuple[str, ...] = PUBLIC_STARTS
+    unit: float = 1
 
     def routed(self, requests: DataFrame) -> DataFrame:
         """requests with their route, those of public ones left out; a null path is of no route of its own."""
@@ -71,8 +73,8 @@ class Limits:
 
     def take(self, route: str, tokens: float, last: int | None, at: int) -> tuple[float, bool, int]:
         """(tokens left, whether the request is allowed, seconds after which to try again) at so many microseconds."""
-        rate = self.routes.get(route, self.default) / 60
-        if last is None or (at - last) / 1e6 >= self.idle:
+        rate = self.routes.get(route, self.default) / 60 / self.unit
+        if last is None or (at - last) / 1e6 >= self.idle * self.unit:
             tokens = self.burst
         else:
             tokens = min(self.burst, tokens + (at - last) / 1e6 * rate)

@@ -75,10 +75,10 @@ SELECT client, route, event_id, before >= 1 AS allowed FROM f""")
 def route_limits(spark, sf_dir):
     """Requests that the buckets of their clients and routes allow; hours stand for seconds, as events are far apart."""
     rows = load(spark, sf_dir, "events").selectExpr(
-        "concat('c', user_id % 40) client", "event_id", "timestamp_micros(cast(unix_micros(cast(ts as timestamp)) / 3600 as bigint)) ts",
+        "concat('c', user_id % 40) client", "event_id", "ts",
         "case event_type when 'click' then '/auth/login' when 'view' then concat('/chat/stream/', event_id) when 'error' then '/citations' when 'purchase' then '/documents' else '/health' end path",
     )
-    return state.limited_by_route(rows, state.Limits(burst=2.0)).drop("retry_after")
+    return state.limited_by_route(rows, state.Limits(burst=2.0, unit=3600)).drop("retry_after")
 
 
 @query("""WITH typed AS (SELECT event_id // 10 AS stream_id, (event_id * 7) % 10 AS seq, CASE event_type WHEN 'click' THEN 'text_delta' WHEN 'view' THEN 'tool_call' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'cost_summary' ELSE 'thinking_delta' END AS kind, props AS content, value AS cost FROM events WHERE event_id % 13 <> 5),
