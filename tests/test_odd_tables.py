@@ -23,3 +23,10 @@ def test_route_limits_of_events_close_together(spark, tmp_path):
         events="""SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 7919 % 2003 * 10 + i // 300 * 86400000000) AS ts, CAST(i % 3 AS BIGINT) AS user_id,
         ['click', 'view', 'error', 'purchase', 'other'][1 + i % 5] AS event_type, 1.0::DOUBLE AS value, '{}' AS props FROM range(2000) t(i)""",
     )
+
+
+def test_page_strings_of_cut_references(spark, tmp_path):
+    check(
+        spark, tmp_path, "page_strings",
+        pages="""SELECT i AS page_id, ['<p>a &amp</p><b>&am</b>', '<p>a &amp; &lt &copy; &copy &#39; &#39 &</p>', '<p>x&ampy; z &amp;lt;</p>', '<p>&&amp;&</p>'][i] AS html FROM range(1, 5) t(i)""",
+    )
