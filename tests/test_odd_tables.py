@@ -30,3 +30,12 @@ def test_page_strings_of_cut_references(spark, tmp_path):
         spark, tmp_path, "page_strings",
         pages="""SELECT i AS page_id, ['<p>a &amp</p><b>&am</b>', '<p>a &amp; &lt &copy; &copy &#39; &#39 &</p>', '<p>x&ampy; z &amp;lt;</p>', '<p>&&amp;&</p>'][i] AS html FROM range(1, 5) t(i)""",
     )
+
+
+def test_compliance_looks_at_all_requirements(spark, tmp_path):
+    """More than twenty requirements in the first five communities."""
+    con = check(
+        spark, tmp_path, "compliance",
+        part="SELECT i AS p_partkey, 'T' || i % 9 AS p_type, CAST(i % 50 AS INTEGER) AS p_size, CAST(i % 97 AS DOUBLE) AS p_retailprice FROM range(1, 2000) t(i)",
+    )
+    assert con.sql(f"SELECT count(*) FROM ({catalogue.oracle_sql()['compliance']})").fetchall() == [(45,)]
