@@ -39,3 +39,30 @@ def test_compliance_looks_at_all_requirements(spark, tmp_path):
         part="SELECT i AS p_partkey, 'T' || i % 9 AS p_type, CAST(i % 50 AS INTEGER) AS p_size, CAST(i % 97 AS DOUBLE) AS p_retailprice FROM range(1, 2000) t(i)",
     )
     assert con.sql(f"SELECT count(*) FROM ({catalogue.oracle_sql()['compliance']})").fetchall() == [(45,)]
+
+
+def test_resolution_stages_fold_equal_names(spark, tmp_path):
+    """Many parts of few names; each stage's pairs, and merges, are those of its SQL."""
+    part = """SELECT i AS p_partkey, ['red hammer', 'red hammer big', 'blue small bolt', 'blue bolt'][1 + i // 4 % 4] AS p_name, ['ECONOMY', 'SMALL', 'LARGE'][1 + i % 3] AS p_type,
+    CAST(i * 7 % 4 + 5 * (i % 2) AS INTEGER) AS p_size, 'Brand#' || i % 5 AS p_brand FROM range(1, 900) t(i)"""
+    for name in ("letter_stage", "word_stage", "substring_stage", "substring_merges"):
+        (tmp_path / name).mkdir()
+        check(spark, tmp_path / name, name, part=part)
+
+
+def test_pairs_of_equal_names_are_made_once(spark, monkeypatch):
+    """The grams of two names that many rows have meet as two rows."""
+    from docquarry.operators import resolution
+
+    seen = []
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return resolution_pairs(rows, *rest)
+
+    resolution_pairs = resolution.gram_pairs
+    monkeypatch.setattr(resolution, "gram_pairs", counted)
+    rows = spark.range(500).selectExpr("id entity_id", "if(id % 2 = 0, 'red hammer', 'red hammers') name", "'K' kind", "'d' document_id")
+    found = resolution.letter_candidates(rows, over=0.5, most=5).collect()
+    assert seen == [2]
+    assert [(r.id1, r.id2, r.similarity) for r in found] == [(0, 2 * k, 1.0) for k in range(1, 6)]
