@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.lineage import settings
 
 # Fixed values of text-search ranking: the weights of the labels D, C, B and A, the last position that
 # counts, how many positions of a lexeme are kept, and the sum of 1/n^2 by which occurrences are scaled.
@@ -18,24 +19,33 @@ WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
 LAST_POSITION, MOST_POSITIONS, SCALE = 16383, 255, 1.64493406685
 #: Words further apart add nothing that a double could hold; the rank of words that are all so far apart.
 FAR, LEAST_RANK = 100, 1e-20
+#: Bytes of compressed texts that a task makes postings of.
+PART = "8m"
 
 
 def postings(rows: DataFrame, id_col: str, texts: dict[str, str], partitions: list[str] = ()) -> DataFrame:
     """(lexeme, <id>, *partitions, positions, labels) of rows: where each lexeme stands, counting all words, and the
     label of the text that it stands in. texts are {label: column}, read one behind the other; null ones are empty."""
 
-    def words_of(label: str, column: str) -> Column:
-        words = T.all_words(F.coalesce(F.col(column), F.lit("")))
+    # rows of one document come together by their texts; its words, many times as many bytes, are put in order inside its row
+    rows = rows.groupBy(id_col, *partitions).agg(F.collect_list(F.struct(*texts.values())).alias("texts"))
+
+    def labelled(words: Column, label: str) -> Column:
         return F.transform(words, lambda w: F.struct(w.alias("lexeme"), F.lit(label).alias("label")))
 
-    words = [words_of(label, column) for label, column in texts.items()]
-    # texts are dealt by document, so that their words, many times as many bytes, are grouped where they are
-    rows = rows.select(id_col, *partitions, *texts.values()).repartition(F.col(id_col))
-    each = rows.select(id_col, *partitions, F.posexplode(F.concat(*words)).alias("at", "w"))
-    each = each.select("w.lexeme", id_col, *partitions, F.least(F.col("at") + 1, F.lit(LAST_POSITION)).alias("position"), "w.label")
-    held = F.slice(F.sort_array(F.collect_set(F.struct("position", "label"))), 1, MOST_POSITIONS)  # within one document
-    found = each.groupBy("lexeme", id_col, *partitions).agg(held.alias("held"))
-    return found.select("lexeme", id_col, *partitions, F.col("held.position").alias("positions"), F.col("held.label").alias("labels"))
+    def words_of(row: Column) -> Column:
+        both = [labelled(T.all_words(F.coalesce(row[column], F.lit(""))), label) for label, column in texts.items()]
+        return F.transform(F.concat(*both), lambda x, i: F.struct(x["lexeme"].alias("lexeme"), F.least(i + 1, F.lit(LAST_POSITION)).alias("position"), x["label"].alias("label")))
+
+    names = [id_col, *partitions]
+    found = rows.select(*names, F.array_sort(F.flatten(F.transform("texts", words_of))).alias("e"))
+    # places that come again, as those behind the last one do, count once
+    found = found.select(*names, F.expr("filter(e, (x, i) -> i = 0 or x <> e[i - 1]) e"))
+    found = found.select(*names, "e", F.expr("filter(sequence(1, size(e)), i -> size(e) > 0 and (i = 1 or e[i - 1].lexeme <> e[i - 2].lexeme)) starts"))
+    last = f"least(coalesce(get(starts, j + 1), size(e) + 1), s + {MOST_POSITIONS}) - 1"
+    each = f"transform(starts, (s, j) -> struct(e[s - 1].lexeme lexeme, transform(sequence(s, {last}), k -> e[k - 1]) held))"
+    found = found.select(*names, F.explode(F.expr(each)).alias("p"))
+    return found.select("p.lexeme", *names, F.col("p.held.position").alias("positions"), F.col("p.held.label").alias("labels"))
 
 
 def write_index(index: DataFrame, path: str, id_col: str, files: int | None = None) -> DataFrame:
@@ -43,7 +53,9 @@ def write_index(index: DataFrame, path: str, id_col: str, files: int | None = No
     over the files, so that no lexeme is too much for one."""
     dealt = index if files is None else index.repartition(files, F.xxhash64(id_col))
     dealt = dealt.sortWithinPartitions("lexeme", id_col)
-    dealt.write.option("parquet.block.size", str(4 << 20)).parquet(path)
+    # a task's part of the texts is small enough for its postings to be sorted in memory
+    with settings(index.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": PART}):
+        dealt.write.option("parquet.block.size", str(4 << 20)).parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
 
 

@@ -50,3 +50,16 @@ def test_rank_of_several_words(index):
 def test_a_query_reads_its_lexemes_only(index):
     plan = fulltext.match(index, "id", "alpha beta")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(lexeme, [alpha,beta])]" in plan
+
+
+def test_postings_are_made_inside_rows(spark):
+    """No aggregate works on a row for each word; repeated ids are one document, and places behind the last one count once."""
+    rows = [(1, "b a b"), (1, "a c"), (2, " ".join(["x"] * 300 + ["y"] * 16200)), (3, None), (4, "")]
+    found = fulltext.postings(spark.createDataFrame(rows, "id int, t string"), "id", {"D": "t"})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate") and "collect_set" not in plan
+    got = {(r.id, r.lexeme): (r.positions, set(r.labels)) for r in found.collect()}
+    assert got == {
+        (1, "a"): ([1, 2], {"D"}), (1, "b"): ([1, 3], {"D"}), (1, "c"): ([2], {"D"}),
+        (2, "x"): (list(range(1, 256)), {"D"}), (2, "y"): (list(range(301, 556)), {"D"}),
+    }
