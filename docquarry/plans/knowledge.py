@@ -165,21 +165,21 @@ def community_listing(spark, sf_dir):
 def community_entities(spark, sf_dir):
     """Entities of the communities of one level."""
     ids = part_communities(spark, sf_dir).where("level = 1")
-    return ids.join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_name", "p_type"), "node")
+    return ids.join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_name", "p_type").hint("merge"), "node")
 
 
 @query(f"WITH {PART_COMMUNITIES} SELECT DISTINCT level, community FROM members WHERE node IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND p_size > 40)")
 def visible_communities(spark, sf_dir):
     """Communities that occur among the nodes that are shown."""
     shown = load(spark, sf_dir, "part").where("p_type = 'ECONOMY' and p_size > 40").select(F.col("p_partkey").alias("node"))
-    return part_communities(spark, sf_dir).join(shown, "node", "left_semi").select("level", "community").distinct()
+    return part_communities(spark, sf_dir).join(shown.hint("merge"), "node", "left_semi").select("level", "community").distinct()
 
 
 @query(f"""WITH {PART_COMMUNITIES}, t AS (SELECT level, community, string_agg(p_name, ' ' ORDER BY node) AS title FROM members JOIN part ON p_partkey = node GROUP BY 1, 2)
 SELECT level, community FROM t WHERE level = 1 AND contains(' ' || lower(title) || ' ', ' small ') AND contains(' ' || lower(title) || ' ', ' widget ')""")
 def community_text_search(spark, sf_dir):
     """Communities of one level whose titles have all words of a query."""
-    named = part_communities(spark, sf_dir).where("level = 1").join(load(spark, sf_dir, "part").selectExpr("p_partkey node", "p_name"), "node")
+    named = part_communities(spark, sf_dir).where("level = 1").join(load(spark, sf_dir, "part").selectExpr("p_partkey node", "p_name").hint("merge"), "node")
     words = named.select("level", "community", F.explode(T.lexemes("p_name")).alias("lexeme")).distinct()
     return fulltext.match(words, "community", "Small WIDGET", ["level"])
 

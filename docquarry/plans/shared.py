@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.lineage import ensure_checkpoint_dir
+from docquarry.lineage import NO_BROADCAST, ensure_checkpoint_dir, settings
 from docquarry.operators import fulltext
 from docquarry.operators.modularity import community_levels
 from docquarry.sources import load
@@ -51,8 +51,10 @@ def part_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(level, community, node): the communities that modularity finds among parts."""
 
     def write(place):
-        found = community_levels(part_edges(spark, sf_dir))
-        found.write.parquet(place)
+        # graphs and memberships of every round would pass through the driver
+        with settings(spark, NO_BROADCAST):
+            found = community_levels(part_edges(spark, sf_dir))
+            found.write.parquet(place)
         return found
 
     return once(spark, sf_dir, "part-communities", write)

@@ -118,3 +118,21 @@ def test_levels_and_their_stop_rules(spark):
     assert levels(spark, clique(range(5))) == {}
     assert levels(spark, clique(range(2)) + clique(range(5, 6))) == {}
     assert levels(spark, [(1, 1, 1.0)]) == {}
+
+
+def test_no_table_of_communities_is_broadcast(spark, sf_dir, monkeypatch):
+    """Tables of the rounds stay off the driver, small files or not."""
+    from docquarry.operators import modularity
+    from docquarry.plans import catalogue, shared
+
+    plans, stored = [], modularity.stored
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(modularity, "stored", watched)
+    monkeypatch.setattr(shared, "_made", {})
+    for name in ("community_entities", "community_text_search", "visible_communities"):
+        plans.append(catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
