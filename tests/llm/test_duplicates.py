@@ -141,6 +141,21 @@ def test_full_bucket_misses_no_link(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_no_pair_at_the_similarity_is_left_out(spark):
+    rng = np.random.default_rng(17)
+    pairs = []
+    for n, gone in [(18, 2)] * 700 + [(9, 1)] * 100 + [(5, 1)] * 50:
+        words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (n + gone, 7))]
+        # of so many words each line lacks its own, or one line lacks some that the other has
+        pairs.append((" ".join(words[:n]), " ".join(words[gone:] if n > 5 else words[: n - gone] + words[:1])))
+    texts = {x for pair in pairs for x in pair}
+    assert sorted(line_links(texts)) == sorted(map(tuple, map(sorted, pairs)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(texts))], "doc_id long, text string")
+    of = {r.line: r.lid for r in lines.lines_of(docs).collect()}
+    found = {r.lid: r.component for r in lines.linked_lines(lines.lines_of(docs)).collect()}
+    assert [p for p in pairs if found.get(of[p[0]]) is None or found[of[p[0]]] != found.get(of[p[1]])] == []
+
+
 def test_query_judges_every_line_that_is_not_blank(spark, tmp_path):
     tabs = "\t".join(f"word{i:02d}" for i in range(14))
     texts = ["All rights reserved.\n\n漢字だけの行です", "漢字だけの行です\nAll rights reserved.\n", tabs, tabs + "\televen", " \t\n \t"]
