@@ -21,6 +21,8 @@ from docquarry.session import ship_package
 
 #: Rows of a block, bytes of its vectors, and rows of it that are multiplied at once.
 BLOCK, BYTES, STRIP = 4096, 4 << 20, 512
+#: Bytes after which a batch of pairs of blocks goes to Python; without it a task's pairs go there together.
+BATCH = 8 << 20
 
 
 def _vectors(rows: DataFrame, id_col: str, group: Column, vector: str) -> DataFrame:
@@ -84,6 +86,7 @@ def _tiles(left: DataFrame, right: DataFrame | None, size: int) -> DataFrame:
 
 def _prepared(left, right, id_col, group, vector, size):
     ship_package(left.sparkSession)
+    left.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     own = F.lit(0) if group is None else F.col(group)
     kind = "int" if group is None else left.schema[group].dataType.simpleString()
     a = _vectors(left, id_col, own, vector)
