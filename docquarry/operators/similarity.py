@@ -151,6 +151,51 @@ def pairs_above(
     return tiles.mapInArrow(run, "id1 long, id2 long, sim double")
 
 
+def best_partners(
+    queries: DataFrame, rows: DataFrame, k: int, least: float, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, size: int = BLOCK
+) -> DataFrame:
+    """(id1, id2, sim): for each query its k most similar rows of `least` or more, ties to the smaller id, without groups.
+
+    Tiles with the same block of queries follow each other in a task, which merges them, so that it gives k rows
+    a query however many blocks of rows there are.
+    """
+    # the block of rows is the one that is copied: the join streams the copies past each block of queries
+    tiles, _ = _prepared(rows, queries, id_col, None, vector, size)
+
+    def run(batches):
+        asked, best, partners = None, None, None
+
+        def found():
+            a, b = np.nonzero(best > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array(asked[a]), pa.array(partners[a, b]), pa.array(best[a, b])], ["id1", "id2", "sim"])
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                others, columns = _unit(batch.column(1), n)
+                ids, unit = _unit(batch.column(2), n)
+                if asked is None or not np.array_equal(asked, ids):
+                    if asked is not None:
+                        yield found()
+                    asked, best, partners = ids, np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+                for at in range(0, len(ids), STRIP):
+                    part = slice(at, at + STRIP)
+                    scores = np.round(unit[part] @ columns.T, digits)
+                    scores[scores < least] = -np.inf
+                    a, b = np.nonzero(_first_k(scores, k))
+                    place = np.arange(len(a)) - np.searchsorted(a, a)
+                    more, whose = np.full((len(scores), k), -np.inf), np.zeros((len(scores), k), np.int64)
+                    more[a, place], whose[a, place] = scores[a, b], others[b]
+                    more, whose = np.hstack([best[part], more]), np.hstack([partners[part], whose])
+                    first = np.lexsort((whose, -more), axis=-1)[:, :k]
+                    best[part], partners[part] = np.take_along_axis(more, first, 1), np.take_along_axis(whose, first, 1)
+        if asked is not None:
+            yield found()
+
+    parts = tiles.mapInArrow(run, "id1 long, id2 long, sim double")
+    order = Window.partitionBy("id1").orderBy(F.desc("sim"), "id2")
+    return parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
 def bands(
     rows: DataFrame, group: str = "label", id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, size: int = BLOCK
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.vectors import l2_normalized
 from docquarry.operators import similarity
 from docquarry.operators.entities import merge_map, remapped_edges
-from docquarry.operators.matching import greedy_pairs
+from docquarry.operators.matching import greedy_vectors
 from docquarry.operators.vector import AdaptiveK, adaptive_k, neighbours, retrieve, top_k
 from docquarry.plans.registry import query
 from docquarry.sources import load
@@ -173,5 +173,4 @@ SELECT t.l AS "left", t.r AS "right", t.s AS score FROM (SELECT unnest(taken) AS
 def greedy_match(spark, sf_dir):
     """Labels 1 and 2 matched one to one by falling similarity."""
     rows = load(spark, sf_dir, "embeddings")
-    pairs = similarity.pairs_above(rows.where("label = 1"), 0.1, rows.where("label = 2"), group=None)
-    return greedy_pairs(pairs.selectExpr("id1 left", "id2 right", "sim score"))
+    return greedy_vectors(rows.where("label = 1"), rows.where("label = 2"), 0.1)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import similarity
-from docquarry.operators.matching import greedy_pairs
+from docquarry.operators.matching import greedy_pairs, greedy_vectors
 from docquarry.operators.mixture import SETTLED, SLACK, STEPS, mixtures
 from docquarry.operators.vector import AdaptiveK, adaptive_k, retrieve
 
@@ -95,6 +95,28 @@ def test_greedy_pairs(spark, seed):
     assert greedy_pairs(frame.where("score > 5")).count() == 0
 
 
+def test_greedy_vectors_hold_a_few_pairs_of_each_row(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(48, 4))
+    v[40:46] = v[10]  # copies, all with the same neighbours
+    sides = [[(i, x.tolist()) for i, x in enumerate(v) if i % 2 == side] + [(900 + side, None), (902 + side, [0.0] * 4)] for side in (0, 1)]
+    left, right = (spark.createDataFrame(rows, "vec_id long, embedding array<double>") for rows in sides)
+    u = v / np.sqrt((v * v).sum(1))[:, None]
+    pairs = [(round(float(u[a] @ u[b]), 6), a, b) for a in range(0, 48, 2) for b in range(1, 48, 2)]
+    lefts, rights, want = set(), set(), []
+    for s, a, b in sorted((p for p in pairs if p[0] >= 0.1), key=lambda p: (-p[0], p[1], p[2])):
+        if a not in lefts and b not in rights:
+            want.append((a, b))
+            lefts.add(a)
+            rights.add(b)
+    sizes, real = [], similarity.best_partners
+    monkeypatch.setattr(similarity, "best_partners", lambda q, r, k, *rest: sizes.append((k, (found := real(q, r, k, *rest, size=16)).count())) or found)
+    got = greedy_vectors(left, right, 0.1, kept=1, few=8)
+    assert sorted((r.left, r.right) for r in got.collect()) == sorted(want)
+    assert all(k == 8 and n <= 8 * 24 for k, n in sizes)
+    assert greedy_vectors(left, right, 1.5).count() == 0
+
+
 def plain_mixture(x):
     x = np.array(sorted(x))
     w, m, v = 0.5, np.array([x[0], x[-1]]), np.full(2, x.var() + SLACK)
