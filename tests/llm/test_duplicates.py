@@ -226,3 +226,15 @@ def test_empty_tables(documents):
     none = documents.where("false")
     for found in (simhash.near_duplicates(none), exact.exact_duplicates(none), lines.line_dedup(none), suffix.digests(none)):
         assert rows(found.columns, found.collect()) == []
+
+
+def test_long_lines_that_differ_are_no_candidates(spark):
+    rng = np.random.default_rng(29)
+    words = [["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (110, 7))] for _ in range(20)]
+    # 110 words each, and of every other line a copy without some
+    texts = [" ".join(x) for x in words] + [" ".join(x[n % 20 :]) for n, x in enumerate(words) if n % 2]
+    of = lines.lines_of(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    signed = lines.signatures(of, lines.repeated(of)).select("lid", "shingles")
+    met = signed.toDF("a", "s").crossJoin(signed.toDF("b", "t")).where(f"a < b and {lines._near(0.8)}").select("a", "b")
+    lid = {r.line: r.lid for r in of.collect()}
+    assert {tuple(r) for r in met.collect()} == {tuple(sorted((lid[x], lid[y]))) for x, y in line_links(set(texts))}
